@@ -38,9 +38,9 @@ def shingle_count(body: Column) -> Column:
     return F.greatest(F.lit(1), F.length(body) - (SHINGLE - 1))
 
 
-def shingle_set(body: Column) -> Column:
-    """Distinct hashes of the runs of SHINGLE characters; a shorter line is one run."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), shingle_count(body)), lambda p: F.xxhash64(F.substring(body, p, F.lit(SHINGLE)))))
+def shingle_set(raw: Column, n: Column) -> Column:
+    """Distinct hashes of the `n` runs of SHINGLE characters of a line in UTF-16; a shorter line is one run."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), n * 2, F.lit(2)), lambda p: F.xxhash64(F.substring(raw, p, F.lit(2 * SHINGLE)))))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return signed.select("h1", "h2", F.explode(F.array(*bands)).alias("key"))
 
 
-def _candidates(lines: DataFrame, n_lines: int) -> DataFrame:
+def _candidates(ws: Workspace, lines: DataFrame, n_lines: int) -> DataFrame:
     """Pairs (a, b) of line keys within buckets: each member with its bucket's first and with the one before it.
 
     Each band orders its members by another hash, so firsts and neighbours differ from
@@ -69,21 +69,25 @@ def _candidates(lines: DataFrame, n_lines: int) -> DataFrame:
     on tasks only, not on which lines count.
     """
     sample = _signatures(lines.sample(min(1.0, SAMPLE / max(1, n_lines)), seed=3)).groupBy("key").count().where(F.col("count") > HOT)
-    hot = sample.select("key", F.lit(SALTS).alias("salts"))  # at most SAMPLE * BANDS / HOT rows
-    keyed = _signatures(lines).join(F.broadcast(hot), "key", "left")
-    keyed = keyed.select("key", F.struct("h1", "h2").alias("id"), F.when(F.col("salts").isNull(), 0).otherwise(F.pmod("h2", "salts") + 1).alias("salt"))
+    hot = sample.select("key", F.lit(SALTS).alias("salts")).collect()  # at most SAMPLE * BANDS / HOT rows
+    keyed = _signatures(lines)
 
     def near(rows: DataFrame, *by: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(F.xxhash64("key", "id"), "id")
-        return rows.select(*by, "id", F.first("id").over(w).alias("first"), F.lag("id").over(w).alias("before"))
+        w = Window.partitionBy(*by).orderBy(F.xxhash64("key", "h1"), "h1", "h2")
+        first = F.first(F.struct("h1", "h2")).over(w)
+        return rows.select(*by, "h1", "h2", first.alias("first"), F.lag(F.struct("h1", "h2")).over(w).alias("before"))
 
     def pairs(rows: DataFrame) -> DataFrame:
-        both = rows.where(F.col("before").isNotNull()).select(F.explode(F.array("first", "before")).alias("o"), "id")
+        both = rows.where(F.col("before").isNotNull()).select(F.explode(F.array("first", "before")).alias("o"), F.struct("h1", "h2").alias("id"))
         return both.select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b"))
 
-    local = near(keyed, "key", "salt")
-    heads = near(keyed.where(F.col("salt") > 0), "key", "salt").where(F.col("before").isNull())
-    return pairs(local).union(pairs(near(heads.select("key", "id"), "key"))).where(F.col("a") != F.col("b")).distinct()
+    if not hot:
+        return pairs(near(keyed, "key")).distinct()
+    salted = keyed.join(F.broadcast(ws.spark.createDataFrame(hot, "key long, salts int")), "key", "left")
+    salted = salted.select("key", "h1", "h2", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod("h2", "salts") + 1).cast("byte").alias("salt"))
+    local = ws.cut(near(salted, "key", "salt").where(F.col("before").isNotNull() | (F.col("salt") > 0)), "near")
+    heads = local.where(F.col("before").isNull()).select("key", "h1", "h2")
+    return pairs(local).union(pairs(near(heads, "key"))).where(F.col("a") != F.col("b")).distinct()
 
 
 def line_groups(ws: Workspace, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
@@ -96,13 +100,13 @@ def line_groups(ws: Workspace, docs: DataFrame, doc_id: str, text: str, similari
     distinct.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "h1", "h2").option("path", f"{ws.root}/lines").saveAsTable(name)
     ws.release()
     lines = spark.table(name)
-    pairs = ws.cut(_candidates(lines.select("h1", "h2", "body"), lines.count()), "pairs")
+    pairs = ws.cut(_candidates(ws, lines.select("h1", "h2", "body"), lines.count()), "pairs")
 
     def body(side: str) -> DataFrame:
-        return lines.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.col("body").alias(f"body_{side}"))
+        return lines.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.encode("body", "UTF-16BE").alias(f"raw_{side}"), shingle_count(F.col("body")).alias(f"n_{side}"))
 
     flat = pairs.select(F.col("a.h1").alias("a1"), F.col("a.h2").alias("a2"), F.col("b.h1").alias("b1"), F.col("b.h2").alias("b2"))
-    sets = flat.join(body("a"), ["a1", "a2"]).join(body("b"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", shingle_set(F.col("body_a")).alias("x"), shingle_set(F.col("body_b")).alias("y"))
+    sets = flat.join(body("a"), ["a1", "a2"]).join(body("b"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", shingle_set(F.col("raw_a"), F.col("n_a")).alias("x"), shingle_set(F.col("raw_b"), F.col("n_b")).alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     links = sets.where(same >= similarity * (F.size("x") + F.size("y") - same)).select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
     roots = components(ws, links, "lines")
@@ -112,7 +116,7 @@ def line_groups(ws: Workspace, docs: DataFrame, doc_id: str, text: str, similari
     known = lines.select("h1", "h2", "first", "n").join(keepers, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("keep").isNotNull())
     known = ws.cut(known.select("h1", "h2", F.coalesce("keep", "first").alias("keep")), "known")
     spark.sql(f"DROP TABLE {name}")
-    ws.drop("lines", "pairs")
+    ws.drop("lines", "pairs", "near")
     found = lines_of(docs, doc_id, text).drop("body").join(known, ["h1", "h2"]).where(~F.struct("doc_id", "r1", "r2", "line").eqNullSafe(F.col("keep")))
     return found.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
