@@ -144,7 +144,7 @@ def _system(leaf: Leaf, c: Column) -> Column:
         return c.isNull() if op == "$eq" else c.isNotNull()
     if op == "$eq" and isinstance(x, list):
         return F.lit(False)  # an exact array is no scalar
-    lit = _date if key in DATE_KEYS else F.lit
+    lit, c = (_date, c.cast("timestamp")) if key in DATE_KEYS else (F.lit, c)
     if op in RANGES:
         return _sure(RANGES[op](c, lit(x)))
     if op in ("$in", "$nin"):

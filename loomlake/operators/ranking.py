@@ -56,8 +56,13 @@ def _weight(weights: dict[str, float] | None) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), F.col("channel")), F.lit(1.0))
 
 
+def _us(ts: Column) -> Column:
+    """Microseconds of a time; one without a zone is read as in the session's (UTC)."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def age_days(ts: Column, now: Column) -> Column:
-    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(ts)) / 86_400_000_000.0)
+    return F.greatest(F.lit(0.0), (_us(now) - _us(ts)) / 86_400_000_000.0)
 
 
 def half_life(age: Column, half: float) -> Column:
@@ -87,7 +92,7 @@ def version_decay(version: Column, by: str) -> Column:
 def sessionize(events: DataFrame, by: str, ts: str, gap_seconds: int, into: str = "session") -> DataFrame:
     """Numbers sessions from 0 in each group: a new one where the gap exceeds `gap_seconds`."""
     w = Window.partitionBy(by).orderBy(ts, *[c for c in events.columns if c not in (by, ts)][:1])
-    new = F.coalesce((F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w)) > gap_seconds * 1_000_000).cast("int"), F.lit(0))
+    new = F.coalesce((_us(F.col(ts)) - _us(F.lag(ts).over(w)) > gap_seconds * 1_000_000).cast("int"), F.lit(0))
     return events.withColumn("_new", new).withColumn(into, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 

@@ -11,10 +11,6 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return next(iter(_queries.values()))(spark, sf_dir) if _queries else spark.range(1).toDF("n")
-
-
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _queries[name] = f
