@@ -220,7 +220,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.co_occurrence(_mentions(spark, d)).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("weight"))
 
 
-@register("co_occurrence", f"WITH {EDGES} SELECT a, b, n, round(least(0.7, 0.3 + 0.1 * n), 6) AS confidence FROM e")
+@register("co_occurrence", f"WITH {EDGES} SELECT a, b, n, round(CAST(least(0.7, 0.3 + 0.1 * n) AS DOUBLE), 6) AS confidence FROM e")
 def co_occurrence(spark: SparkSession, d: str) -> DataFrame:
     return graph.co_occurrence(_mentions(spark, d)).select("a", "b", "n", _r("confidence").alias("confidence"))
 
