@@ -44,24 +44,24 @@ def shingle_set(raw: Column, n: Column) -> Column:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(h1, h2, key) for each band of each line. The rows of a line never leave its partition if that is by h1 and h2."""
+    """(key, k) for each band of each line. The rows of a line never leave its partition if that is by h1 and h2."""
     rng = random.Random(11)
     n = shingle_count(F.col("body"))
     tiers = F.when(n <= SAMPLED, F.array(F.lit(0))).when(n <= FULL, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    wide = lines.select("h1", "h2", F.encode("body", "UTF-16BE").alias("raw"), n.alias("n"), F.explode(tiers).alias("tier"))
-    places = wide.select("h1", "h2", "raw", "tier", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
-    hashed = places.select("h1", "h2", "tier", F.xxhash64(F.substring(F.col("raw"), F.col("p") * 2 + 1, F.lit(2 * SHINGLE))).alias("x0"))
+    wide = lines.select("h1", "h2", "k", F.encode("body", "UTF-16BE").alias("raw"), n.alias("n"), F.explode(tiers).alias("tier"))
+    places = wide.select("h1", "h2", "k", "raw", "tier", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
+    hashed = places.select("h1", "h2", "k", "tier", F.xxhash64(F.substring(F.col("raw"), F.col("p") * 2 + 1, F.lit(2 * SHINGLE))).alias("x0"))
     hashed = hashed.where((F.col("tier") == 0) | (F.col("x0").bitwiseAND(F.lit(3)) == 0))
     hashed = hashed.withColumn("x1", F.xxhash64("x0")).withColumn("x2", F.xxhash64("x1"))
     # the hash nearest to a random point, by exclusive or, is a random one of the union of two sets
     minima = [F.min(F.col(f"x{i % 3}").bitwiseXOR(F.lit(rng.getrandbits(63) - (1 << 62)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = hashed.groupBy("h1", "h2", "tier").agg(*minima)
+    signed = hashed.groupBy("h1", "h2", "k", "tier").agg(*minima)
     bands = [F.xxhash64(F.lit(b), "tier", *(f"m{b + BANDS * r}" for r in range(ROWS))) for b in range(BANDS)]
-    return signed.select("h1", "h2", F.explode(F.array(*bands)).alias("key"))
+    return signed.select("k", F.explode(F.array(*bands)).alias("key"))
 
 
 def _candidates(ws: Workspace, lines: DataFrame, n_lines: int) -> DataFrame:
-    """Pairs (a, b) of line keys within buckets: each member with its bucket's first and with the one before it.
+    """Pairs (a, b) of line numbers k within buckets: each member with its bucket's first and with the one before it.
 
     Each band orders its members by another hash, so firsts and neighbours differ from
     band to band. Pairs are at most twice the members. Hot buckets, known from a sample,
@@ -73,50 +73,80 @@ def _candidates(ws: Workspace, lines: DataFrame, n_lines: int) -> DataFrame:
     keyed = _signatures(lines)
 
     def near(rows: DataFrame, *by: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(F.xxhash64("key", "h1"), "h1", "h2")
-        first = F.first(F.struct("h1", "h2")).over(w)
-        return rows.select(*by, "h1", "h2", first.alias("first"), F.lag(F.struct("h1", "h2")).over(w).alias("before"))
+        w = Window.partitionBy(*by).orderBy(F.xxhash64("key", "k"), "k")
+        # dealt out here, so that the hash to sort by is made after the shuffle
+        return rows.repartition(*by).select(*by, "k", F.first("k").over(w).alias("first"), F.lag("k").over(w).alias("before"))
 
     def pairs(rows: DataFrame) -> DataFrame:
-        both = rows.where(F.col("before").isNotNull()).select(F.explode(F.array("first", "before")).alias("o"), F.struct("h1", "h2").alias("id"))
-        return both.select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b"))
+        both = rows.where(F.col("before").isNotNull()).select(F.explode(F.array_distinct(F.array("first", "before"))).alias("o"), "k")
+        return both.select(F.least("o", "k").alias("a"), F.greatest("o", "k").alias("b"))
 
     if not hot:
         return pairs(near(keyed, "key")).distinct()
     salted = keyed.join(F.broadcast(ws.spark.createDataFrame(hot, "key long, salts int")), "key", "left")
-    salted = salted.select("key", "h1", "h2", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod("h2", "salts") + 1).cast("byte").alias("salt"))
+    salted = salted.select("key", "k", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("k"), "salts") + 1).cast("byte").alias("salt"))
     local = ws.cut(near(salted, "key", "salt").where(F.col("before").isNotNull() | (F.col("salt") > 0)), "near")
-    heads = local.where(F.col("before").isNull()).select("key", "h1", "h2")
+    heads = local.where(F.col("before").isNull()).select("key", "k")
     return pairs(local).union(pairs(near(heads, "key"))).where(F.col("a") != F.col("b")).distinct()
 
 
+def _links(lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose whole sets are similar. Bodies stay where their buckets are until a pair asks for them."""
+
+    def body(side: str) -> DataFrame:
+        return lines.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.encode("body", "UTF-16BE").alias(f"raw_{side}"), shingle_count(F.col("body")).alias(f"n_{side}"))
+
+    sets = pairs.join(body("a"), ["a1", "a2"]).join(body("b"), ["b1", "b2"]).select("a", "b", shingle_set(F.col("raw_a"), F.col("n_a")).alias("x"), shingle_set(F.col("raw_b"), F.col("n_b")).alias("y"))
+    same = F.size(F.array_intersect("x", "y"))
+    return sets.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
+
+
+def _line_roots(ws: Workspace, lines: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the numbers k of linked lines.
+
+    First each line is held against the first of its candidates; of the other pairs
+    only those whose lines are still in different components are left to verify.
+    """
+    spark, conf = ws.spark, "spark.sql.codegen.aggregate.map.twolevel.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")  # with it the code of so many minima is too long to be compiled
+    try:
+        pairs = ws.cut(_candidates(ws, lines.select("h1", "h2", "k", "body"), lines.count()), "candidates")
+    finally:
+        spark.conf.set(conf, before)
+    ws.drop("near")
+    at = lambda side: lines.select(F.col("k").alias(side), F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"))
+    pairs = ws.cut(pairs.join(at("a"), "a").join(at("b"), "b"), "pairs")
+    ws.drop("candidates")
+    once = pairs.groupBy("b", "b1", "b2").agg(F.min(F.struct("a", "a1", "a2")).alias("o"))
+    links = ws.cut(_links(lines, once.select("o.*", "b", "b1", "b2"), similarity), "links")
+    roots = ws.cut(components(ws, links, "first"), "roots")
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    rest = pairs.join(once.select("b", F.col("o.a").alias("done")), "b").where(F.col("a") != F.col("done"))
+    rest = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    more = ws.cut(_links(lines, rest.select(pairs.columns), similarity), "more")
+    return components(ws, links.union(more), "lines")
+
+
 def line_groups(ws: Workspace, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
     """(r1, r2, gone): for each row that loses lines, the numbers of these."""
     spark = ws.spark
     first = F.struct("doc_id", "r1", "r2", "line")
     distinct = lines_of(docs, doc_id, text).groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.min("body").alias("body"))
+    distinct = distinct.withColumn("k", F.monotonically_increasing_id())
     # bucketed by the line's key: neither signing nor the look-up of bodies then moves a body again
     name = f"loomlake_lines_{uuid.uuid4().hex}"
     distinct.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "h1", "h2").option("path", f"{ws.root}/lines").saveAsTable(name)
     ws.release()
     lines = spark.table(name)
-    pairs = ws.cut(_candidates(ws, lines.select("h1", "h2", "body"), lines.count()), "pairs")
-
-    def body(side: str) -> DataFrame:
-        return lines.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.encode("body", "UTF-16BE").alias(f"raw_{side}"), shingle_count(F.col("body")).alias(f"n_{side}"))
-
-    flat = pairs.select(F.col("a.h1").alias("a1"), F.col("a.h2").alias("a2"), F.col("b.h1").alias("b1"), F.col("b.h2").alias("b2"))
-    sets = flat.join(body("a"), ["a1", "a2"]).join(body("b"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", shingle_set(F.col("raw_a"), F.col("n_a")).alias("x"), shingle_set(F.col("raw_b"), F.col("n_b")).alias("y"))
-    same = F.size(F.array_intersect("x", "y"))
-    links = sets.where(same >= similarity * (F.size("x") + F.size("y") - same)).select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
-    roots = components(ws, links, "lines")
+    roots = _line_roots(ws, lines, similarity)
 
-    linked = lines.select("h1", "h2", "first").join(roots.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "root"), ["h1", "h2"])
-    keepers = linked.join(linked.groupBy("root").agg(F.min("first").alias("keep")), "root").select("h1", "h2", "keep")
-    known = lines.select("h1", "h2", "first", "n").join(keepers, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("keep").isNotNull())
+    linked = lines.select("k", "first").join(roots.select(F.col("node").alias("k"), "root"), "k")
+    keepers = linked.join(linked.groupBy("root").agg(F.min("first").alias("keep")), "root").select("k", "keep")
+    known = lines.select("h1", "h2", "k", "first", "n").join(keepers, "k", "left").where((F.col("n") > 1) | F.col("keep").isNotNull())
     known = ws.cut(known.select("h1", "h2", F.coalesce("keep", "first").alias("keep")), "known")
     spark.sql(f"DROP TABLE {name}")
-    ws.drop("lines", "pairs", "near")
+    ws.drop("lines", "pairs", "links", "roots", "more")
     found = lines_of(docs, doc_id, text).drop("body").join(known, ["h1", "h2"]).where(~F.struct("doc_id", "r1", "r2", "line").eqNullSafe(F.col("keep")))
     return found.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
