@@ -19,6 +19,8 @@ BANDS, ROWS = 12, 4
 FULL, SAMPLED = 160, 128
 #: A bucket with more than HOT of about SAMPLE sampled lines is dealt out over SALTS tasks.
 SAMPLE, HOT, SALTS = 50_000, 200, 64
+#: Members of a bucket that are still apart are compared in blocks of at most about so many members, and shingles.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
@@ -60,13 +62,14 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return signed.select("k", F.explode(F.array(*bands)).alias("key"))
 
 
-def _candidates(ws: Workspace, lines: DataFrame, n_lines: int) -> DataFrame:
-    """Pairs (a, b) of line numbers k within buckets: each member with its bucket's first and with the one before it.
+def _candidates(ws: Workspace, lines: DataFrame, n_lines: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of line numbers k within buckets, and (key, k) of all members of buckets of two and more.
 
-    Each band orders its members by another hash, so firsts and neighbours differ from
-    band to band. Pairs are at most twice the members. Hot buckets, known from a sample,
-    are first dealt by salt; the salts' firsts then form one bucket. The sample decides
-    on tasks only, not on which lines count.
+    Each member is paired with its bucket's first and with the one before it. Each band
+    orders its members by another hash, so firsts and neighbours differ from band to
+    band. Pairs are at most twice the members. Hot buckets, known from a sample, are
+    first dealt by salt; the salts' firsts then form one bucket. The sample decides on
+    tasks only, not on which lines count.
     """
     sample = _signatures(lines.sample(min(1.0, SAMPLE / max(1, n_lines)), seed=3)).groupBy("key").count().where(F.col("count") > HOT)
     hot = sample.select("key", F.lit(SALTS).alias("salts")).collect()  # at most SAMPLE * BANDS / HOT rows
@@ -81,13 +84,16 @@ def _candidates(ws: Workspace, lines: DataFrame, n_lines: int) -> DataFrame:
         both = rows.where(F.col("before").isNotNull()).select(F.explode(F.array_distinct(F.array("first", "before"))).alias("o"), "k")
         return both.select(F.least("o", "k").alias("a"), F.greatest("o", "k").alias("b"))
 
+    if hot:
+        keyed = keyed.join(F.broadcast(ws.spark.createDataFrame(hot, "key long, salts int")), "key", "left")
+        keyed = keyed.select("key", "k", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("k"), "salts") + 1).cast("byte").alias("salt"))
+    by = ("key", "salt") if hot else ("key",)
+    local = ws.cut(near(keyed, *by).where(F.col("before").isNotNull() | (F.col("salt") > 0) if hot else F.col("before").isNotNull()), "near")
+    members = local.select("key", "k").union(local.select("key", "first")).distinct()
     if not hot:
-        return pairs(near(keyed, "key")).distinct()
-    salted = keyed.join(F.broadcast(ws.spark.createDataFrame(hot, "key long, salts int")), "key", "left")
-    salted = salted.select("key", "k", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("k"), "salts") + 1).cast("byte").alias("salt"))
-    local = ws.cut(near(salted, "key", "salt").where(F.col("before").isNotNull() | (F.col("salt") > 0)), "near")
+        return pairs(local).distinct(), members
     heads = local.where(F.col("before").isNull()).select("key", "k")
-    return pairs(local).union(pairs(near(heads, "key"))).where(F.col("a") != F.col("b")).distinct()
+    return pairs(local).union(pairs(near(heads, "key"))).where(F.col("a") != F.col("b")).distinct(), members
 
 
 def _links(lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -101,20 +107,47 @@ def _links(lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return sets.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
+def _within(ws: Workspace, lines: DataFrame, members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members (key, k) of a bucket that lie in different components (node, root) so far.
+
+    Buckets of three have no pair left that wasn't a candidate. Others are cut into blocks,
+    each of which meets each; whole sets are made within the blocks, and of the links of
+    a line to a component one returns.
+    """
+    placed = members.join(roots.withColumnRenamed("node", "k"), "k", "left").select("key", "k", F.coalesce("root", "k").alias("root"))
+    placed = placed.join(lines.select("k", "h1", "h2", shingle_count(F.col("body")).alias("n")), "k")
+    apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.sum("n").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    apart = apart.where((F.col("x") != F.col("y")) & (F.col("c") > 3)).select("key", blocks.alias("blocks"))
+    rest = ws.cut(placed.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")), "apart")
+    rest = rest.join(lines.select("h1", "h2", F.encode("body", "UTF-16BE").alias("raw")), ["h1", "h2"])
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "root", "raw", "n").repartition("key", "i", "j")
+    side = lambda x, s: rest.select("key", "i", "j", F.col("own").alias(f"own_{x}"), F.col("k").alias(x), F.col("root").alias(f"root_{x}"), shingle_set(F.col("raw"), F.col("n")).alias(s))
+    # blocks i and j meet crosswise; a block meets itself at i = j
+    meet = (F.col("own_a") == F.col("i")) & (F.col("own_b") == F.col("j")) & (F.col("root_a") != F.col("root_b")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b")))
+    least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    same = F.size(F.array_intersect("x", "y"))
+    met = side("a", "x").hint("merge").join(side("b", "y"), ["key", "i", "j"]).where(meet & (least >= similarity * most) & (same >= similarity * (F.size("x") + F.size("y") - same)))
+    return met.groupBy("b", "root_a").agg(F.min("a").alias("a")).select("a", "b")
+
+
 def _line_roots(ws: Workspace, lines: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the numbers k of linked lines.
 
     First each line is held against the first of its candidates; of the other pairs
-    only those whose lines are still in different components are left to verify.
+    only those whose lines are still in different components are left to verify. Then
+    what is still apart within a bucket is compared in full, so that no two lines of
+    one bucket in different components go unverified.
     """
     spark, conf = ws.spark, "spark.sql.codegen.aggregate.map.twolevel.enabled"
     before = spark.conf.get(conf)
     spark.conf.set(conf, "false")  # with it the code of so many minima is too long to be compiled
     try:
-        pairs = ws.cut(_candidates(ws, lines.select("h1", "h2", "k", "body"), lines.count()), "candidates")
+        pairs, members = _candidates(ws, lines.select("h1", "h2", "k", "body"), lines.count())
+        pairs = ws.cut(pairs, "candidates")
     finally:
         spark.conf.set(conf, before)
-    ws.drop("near")
     at = lambda side: lines.select(F.col("k").alias(side), F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"))
     pairs = ws.cut(pairs.join(at("a"), "a").join(at("b"), "b"), "pairs")
     ws.drop("candidates")
@@ -125,7 +158,10 @@ def _line_roots(ws: Workspace, lines: DataFrame, similarity: float) -> DataFrame
     rest = pairs.join(once.select("b", F.col("o.a").alias("done")), "b").where(F.col("a") != F.col("done"))
     rest = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = ws.cut(_links(lines, rest.select(pairs.columns), similarity), "more")
-    return components(ws, links.union(more), "lines")
+    second = ws.cut(components(ws, links.union(more), "lines"), "second")
+    last = ws.cut(_within(ws, lines, members, second, similarity), "last")
+    ws.drop("near", "apart")
+    return components(ws, second.toDF("a", "b").union(last), "within")
 
 
 def line_groups(ws: Workspace, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
@@ -146,7 +182,7 @@ def line_groups(ws: Workspace, docs: DataFrame, doc_id: str, text: str, similari
     known = lines.select("h1", "h2", "k", "first", "n").join(keepers, "k", "left").where((F.col("n") > 1) | F.col("keep").isNotNull())
     known = ws.cut(known.select("h1", "h2", F.coalesce("keep", "first").alias("keep")), "known")
     spark.sql(f"DROP TABLE {name}")
-    ws.drop("lines", "pairs", "links", "roots", "more")
+    ws.drop("lines", "pairs", "links", "roots", "more", "second", "last")
     found = lines_of(docs, doc_id, text).drop("body").join(known, ["h1", "h2"]).where(~F.struct("doc_id", "r1", "r2", "line").eqNullSafe(F.col("keep")))
     return found.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
@@ -158,8 +194,9 @@ def mark_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     Two are linked if the sets of their runs of 8 characters (a shorter line is one run)
     have a Jaccard similarity of `similarity` or more, verified on whole sets; of each
     component of links one line stays, the first by doc_id (nulls first), then by a hash
-    of the row, then by number. Candidates come from MinHash bands, so a link between
-    different lines may be missed with the odds stated at BANDS; equal lines never are.
+    of the row, then by number. Candidates come from MinHash bands: a link between
+    different lines may be missed, with the odds stated at BANDS, if they share no bucket,
+    but none within a bucket that would join two components; equal lines never are.
     Rows equal in id and text count as one row and return alike. Null and empty texts
     lose nothing (`gone` is empty). Other columns stay; one named `gone` is replaced.
     """

@@ -132,6 +132,22 @@ def test_lines_match_brute_force(spark):
     assert line_dedup.mark_lines(empty(spark)).count() == 0
 
 
+def test_lines_of_one_bucket_are_all_compared(spark, monkeypatch):
+    rng = random.Random(8)
+    tails = [" ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(12)) for _ in range(40)]
+    bodies = tails + [t[:-4] + "last" for t in tails[:15]]
+    sets = [char_runs(b) for b in bodies]
+    want = {(a, b) for a in range(len(bodies)) for b in range(a + 1, len(bodies)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(want) >= 10
+    monkeypatch.setattr(line_dedup, "_signatures", lambda lines: lines.selectExpr("k", "7L AS key"))
+    root = roots(len(bodies), want)
+    least = {r: min(k for k, x in enumerate(root) if x == r) for r in root}
+    for rows in (512, 9):
+        monkeypatch.setattr(line_dedup, "BLOCK_ROWS", rows)
+        got = line_dedup.mark_lines(frame(spark, list(enumerate(bodies)))).collect()
+        assert {r.doc_id for r in got if r.gone} == {k for k, r in enumerate(root) if least[r] != k}
+
+
 def test_dedup_lines_keeps_clean_rows(spark):
     df = spark.createDataFrame([(1, "a line that is here\nand one more", "x"), (2, "A line that is here", "y"), (3, None, "z"), (4, "", None)], "doc_id long, text string, line string")
     got = {r.doc_id: (r.text, r.line) for r in line_dedup.dedup_lines(df).collect()}
