@@ -14,8 +14,7 @@ from .components import components
 SHINGLE, SIMILARITY = 8, 0.8
 #: A pair of similarity 0.8 shares none of 12 bands of 4 minima about once in 500, of 0.9 once in 90,000.
 BANDS, ROWS = 12, 4
-#: Lines of up to FULL shingles are signed by all of them, lines of SAMPLED and more by those a quarter of
-#: hashes keep. Lines as similar as SIMILARITY lie in one of the two together: FULL * SIMILARITY = SAMPLED.
+#: Lines of up to FULL and of SAMPLED and more shingle positions share no buckets, those in between lie in both.
 FULL, SAMPLED = 160, 128
 #: A bucket with more than HOT of about SAMPLE sampled lines is dealt out over SALTS tasks.
 SAMPLE, HOT, SALTS = 50_000, 200, 64
@@ -53,7 +52,6 @@ def _signatures(lines: DataFrame) -> DataFrame:
     wide = lines.select("h1", "h2", "k", F.encode("body", "UTF-16BE").alias("raw"), n.alias("n"), F.explode(tiers).alias("tier"))
     places = wide.select("h1", "h2", "k", "raw", "tier", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
     hashed = places.select("h1", "h2", "k", "tier", F.xxhash64(F.substring(F.col("raw"), F.col("p") * 2 + 1, F.lit(2 * SHINGLE))).alias("x0"))
-    hashed = hashed.where((F.col("tier") == 0) | (F.col("x0").bitwiseAND(F.lit(3)) == 0))
     hashed = hashed.withColumn("x1", F.xxhash64("x0")).withColumn("x2", F.xxhash64("x1"))
     # the hash nearest to a random point, by exclusive or, is a random one of the union of two sets
     minima = [F.min(F.col(f"x{i % 3}").bitwiseXOR(F.lit(rng.getrandbits(63) - (1 << 62)))).alias(f"m{i}") for i in range(BANDS * ROWS)]

@@ -148,6 +148,22 @@ def test_lines_of_one_bucket_are_all_compared(spark, monkeypatch):
         assert {r.doc_id for r in got if r.gone} == {k for k, r in enumerate(root) if least[r] != k}
 
 
+def signed(spark, bodies):
+    lines = spark.createDataFrame([(k, k, k, b) for k, b in enumerate(bodies)], "h1 long, h2 long, k long, body string")
+    out = {k: set() for k in range(len(bodies))}
+    for r in line_dedup._signatures(lines).collect():
+        out[r.k].add(r.key)
+    return [out[k] for k in range(len(bodies))]
+
+
+def test_long_lines_of_few_runs_are_signed(spark):
+    bodies = [c * n for c in "=-_*#ab.~" for n in (200, 300)] + ["ha " * 90, "ha " * 91]
+    keys = signed(spark, bodies)
+    assert all(keys) and all(keys[k] == keys[k + 1] for k in range(0, len(keys), 2))
+    got = line_dedup.mark_lines(frame(spark, list(enumerate(bodies)))).collect()
+    assert {r.doc_id for r in got if r.gone} == set(range(1, len(bodies), 2))
+
+
 def test_dedup_lines_keeps_clean_rows(spark):
     df = spark.createDataFrame([(1, "a line that is here\nand one more", "x"), (2, "A line that is here", "y"), (3, None, "z"), (4, "", None)], "doc_id long, text string, line string")
     got = {r.doc_id: (r.text, r.line) for r in line_dedup.dedup_lines(df).collect()}
