@@ -14,8 +14,6 @@ from .components import components
 SHINGLE, SIMILARITY = 8, 0.8
 #: A pair of similarity 0.8 shares none of 12 bands of 4 minima about once in 500, of 0.9 once in 90,000.
 BANDS, ROWS = 12, 4
-#: Lines of up to FULL and of SAMPLED and more shingle positions share no buckets, those in between lie in both.
-FULL, SAMPLED = 160, 128
 #: A bucket with more than HOT of about SAMPLE sampled lines is dealt out over SALTS tasks.
 SAMPLE, HOT, SALTS = 50_000, 200, 64
 #: Members of a bucket that are still apart are compared in blocks of at most about so many members, and shingles.
@@ -47,16 +45,15 @@ def shingle_set(raw: Column, n: Column) -> Column:
 def _signatures(lines: DataFrame) -> DataFrame:
     """(key, k) for each band of each line. The rows of a line never leave its partition if that is by h1 and h2."""
     rng = random.Random(11)
-    n = shingle_count(F.col("body"))
-    tiers = F.when(n <= SAMPLED, F.array(F.lit(0))).when(n <= FULL, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    wide = lines.select("h1", "h2", "k", F.encode("body", "UTF-16BE").alias("raw"), n.alias("n"), F.explode(tiers).alias("tier"))
-    places = wide.select("h1", "h2", "k", "raw", "tier", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
-    hashed = places.select("h1", "h2", "k", "tier", F.xxhash64(F.substring(F.col("raw"), F.col("p") * 2 + 1, F.lit(2 * SHINGLE))).alias("x0"))
+    # encoded before the rows are exploded: in one select a line would be encoded anew for each position
+    wide = lines.select("h1", "h2", "k", F.encode("body", "UTF-16BE").alias("raw"), shingle_count(F.col("body")).alias("n"))
+    places = wide.select("h1", "h2", "k", "raw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
+    hashed = places.select("h1", "h2", "k", F.xxhash64(F.substring(F.col("raw"), F.col("p") * 2 + 1, F.lit(2 * SHINGLE))).alias("x0"))
     hashed = hashed.withColumn("x1", F.xxhash64("x0")).withColumn("x2", F.xxhash64("x1"))
     # the hash nearest to a random point, by exclusive or, is a random one of the union of two sets
     minima = [F.min(F.col(f"x{i % 3}").bitwiseXOR(F.lit(rng.getrandbits(63) - (1 << 62)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = hashed.groupBy("h1", "h2", "k", "tier").agg(*minima)
-    bands = [F.xxhash64(F.lit(b), "tier", *(f"m{b + BANDS * r}" for r in range(ROWS))) for b in range(BANDS)]
+    signed = hashed.groupBy("h1", "h2", "k").agg(*minima)
+    bands = [F.xxhash64(F.lit(b), *(f"m{b + BANDS * r}" for r in range(ROWS))) for b in range(BANDS)]
     return signed.select("k", F.explode(F.array(*bands)).alias("key"))
 
 

@@ -164,6 +164,17 @@ def test_long_lines_of_few_runs_are_signed(spark):
     assert {r.doc_id for r in got if r.gone} == set(range(1, len(bodies), 2))
 
 
+def test_lines_of_equal_runs_are_linked_at_any_length(spark):
+    rng = random.Random(4)
+    period = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))
+    bodies = [period * 3, period * 9, "=" * 20, "=" * 100, "=" * 400, "lone line of another kind"]
+    assert len({frozenset(char_runs(b)) for b in bodies}) == 3
+    keys = signed(spark, bodies)
+    assert keys[0] == keys[1] and keys[2] == keys[3] == keys[4]
+    got = line_dedup.mark_lines(frame(spark, list(enumerate(bodies)))).collect()
+    assert {r.doc_id for r in got if r.gone} == {1, 3, 4}
+
+
 def test_dedup_lines_keeps_clean_rows(spark):
     df = spark.createDataFrame([(1, "a line that is here\nand one more", "x"), (2, "A line that is here", "y"), (3, None, "z"), (4, "", None)], "doc_id long, text string, line string")
     got = {r.doc_id: (r.text, r.line) for r in line_dedup.dedup_lines(df).collect()}
