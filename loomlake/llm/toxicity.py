@@ -97,11 +97,12 @@ class Decoder:
         return out
 
     def restore(self, token: str) -> str:
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """Linear in the token's length: states are pairs of symbols, and each keeps a chain of the readings before it."""
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         logp = self.logp
         for options in [*self.readings(token), [("\0\0", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, chain) in best.items():
                 for read, cost in options:
                     x, y, total = a, b, score + cost
                     for ch in read:
@@ -109,9 +110,14 @@ class Decoder:
                         total += logp[x][y][k]
                         x, y = y, k
                     if (x, y) not in new or total > new[x, y][0]:
-                        new[x, y] = (total, text + read)
+                        new[x, y] = (total, (chain, read) if read else chain)
             best = new
-        return max(best.values())[1].rstrip("\0")
+        ((_, chain),) = best.values()  # the end of the text leads to one state
+        out = []
+        while chain:
+            chain, read = chain
+            out.append(read)
+        return "".join(reversed(out)).rstrip("\0")
 
 
 def _symbol(ch: str) -> int:
@@ -137,7 +143,7 @@ class Restorer:
             token = token.rstrip("$@")
         if _CLEAN.match(token) and not _RUN.search(token):
             return (token,)
-        if len(token) > 200 or not any(ch.isalpha() for ch in token):
+        if not any(ch.isalpha() for ch in token):
             return tuple(x for x in re.split(r"[\W\d_]+", token) if x)
         return tuple(self.decoder.restore(token).split())
 

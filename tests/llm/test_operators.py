@@ -323,6 +323,14 @@ def test_classifiers_take_odd_tables(spark, module, fit, score):
     assert getattr(module, score)(docs.limit(0), model).count() == 0
 
 
+def test_long_tokens_are_decoded(spark):
+    docs = spark.createDataFrame([("the stone river is a stupid idiot " * 50,)], "text string")
+    restorer = toxicity.Restorer(toxicity.Decoder(toxicity.fit_characters(docs)))
+    for n in (150, 250, 20_000):
+        assert restorer.token(("st" + "u" * n + "p1d").encode()) == ("stupid",)
+    assert restorer.token("1d10t".replace("d", "d" + "." * 300).encode()) == ("idiot",)
+
+
 def test_decoder_restores_disguises(spark):
     docs = spark.createDataFrame([("the stone river is a stupid idiot " * 50,)], "text string")
     decoder = toxicity.Decoder(toxicity.fit_characters(docs))
