@@ -148,7 +148,10 @@ class Restorer:
         return tuple(self.decoder.restore(token).split())
 
     def words(self, raw: bytes) -> Iterator[tuple[str, ...]]:
-        """Words of each distinct token, and of each run of three and more single characters between blanks."""
+        """Words of each distinct token, and of each whole run of three and more single characters between blanks.
+
+        Words split into pieces of two and more characters aren't joined.
+        """
         tokens = raw.split()
         for t in set(tokens):
             if (got := self.cache.get(t)) is None:
@@ -156,14 +159,14 @@ class Restorer:
                     self.cache.clear()
                 got = self.cache[t] = self.token(t)
             yield got
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ones = np.flatnonzero(size == 1)
+        # a character of several bytes is one too
+        single = np.fromiter((len(t) == 1 or (len(t) < 5 and t[0] > 127 and len(t.decode()) == 1) for t in tokens), bool, len(tokens))
+        ones = np.flatnonzero(single)
         for run in np.split(ones, np.flatnonzero(np.diff(ones) > 1) + 1) if len(ones) > 2 else ():
             if len(run) > 2:
                 spaced = b" ".join(tokens[run[0] : run[-1] + 1]).decode().lower()
                 if sum(ch.isalpha() for ch in spaced) > 1:
-                    for a in range(0, len(spaced), 200):
-                        yield tuple(self.decoder.restore(spaced[a : a + 200]).split())
+                    yield tuple(self.decoder.restore(spaced).split())
 
 
 def word_features(word: str) -> list[int]:

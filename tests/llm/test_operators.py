@@ -331,6 +331,16 @@ def test_long_tokens_are_decoded(spark):
     assert restorer.token("1d10t".replace("d", "d" + "." * 300).encode()) == ("idiot",)
 
 
+def test_spaced_words_of_any_letters_and_runs_of_any_length(spark):
+    docs = spark.createDataFrame([("the stone river is a stupid idiot dümmling " * 50,)], "text string")
+    restorer = toxicity.Restorer(toxicity.Decoder(toxicity.fit_characters(docs)))
+    words = lambda text: [w for got in restorer.words(text.encode()) for w in got]
+    assert "dümmling" in words("the " + " ".join("dümmling") + " river")
+    for n in range(1, 60):
+        # a run of single characters in which the word lies at all places
+        assert any("idiot" in w for w in words(" ".join("stone" * n + "idiot" + "river" * 9))), n
+
+
 def test_decoder_restores_disguises(spark):
     docs = spark.createDataFrame([("the stone river is a stupid idiot " * 50,)], "text string")
     decoder = toxicity.Decoder(toxicity.fit_characters(docs))
