@@ -274,8 +274,13 @@ class Pieces:
         return self.encode_words(self.words(text), n)
 
     def encode_words(self, names: list[str], n: int) -> tuple[np.ndarray, list[float]]:
+        ids, scores = self.segmentations(names, n)
+        return ids[0], scores
+
+    def segmentations(self, names: list[str], n: int) -> tuple[list[np.ndarray], list[float]]:
+        """Ids and scores of the n best segmentations of words, best first."""
         if not names:
-            return np.zeros(0, "<u4"), [0.0]
+            return [np.zeros(0, "<u4")], [0.0]
         try:
             packed, scores, gaps = zip(*map(self.cache.__getitem__, names), strict=True)
         except KeyError:
@@ -283,15 +288,25 @@ class Pieces:
         ids = np.frombuffer(b"".join(packed), "<u4")
         total = float(sum(scores))
         if n == 1:
-            return ids, [total]
+            return [ids], [total]
         gaps = np.array(gaps)
         least = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) > n - 1 else np.arange(len(gaps))
         least = [i for i in least.tolist() if gaps[i] < np.inf]
-        losses = [0.0]
+        # each combination: what it loses, and the words that it spells otherwise
+        chosen: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
         for i in least:
-            own = [scores[i] - s for s, _ in self.nbest(names[i], n)]
-            losses = heapq.nsmallest(n, (a + b for a in losses for b in own))
-        return ids, [total - x for x in losses]
+            found = ((max(0.0, scores[i] - x), np.array(own, "<u4").tobytes()) for x, own in self.nbest(names[i], n))
+            # the best segmentation goes first, also among equals
+            others = [(loss, {i: own}) for loss, own in found if own != packed[i]]
+            own = [(0.0, {}), *others]
+            chosen = heapq.nsmallest(n, ((x + y, a | b) for x, a in chosen for y, b in own), key=lambda c: c[0])
+        out = [ids]
+        for _, words in chosen[1:]:
+            parts = list(packed)
+            for i, own in words.items():
+                parts[i] = own
+            out.append(np.frombuffer(b"".join(parts), "<u4"))
+        return out, [total - x for x, _ in chosen]
 
     def decode(self, ids: np.ndarray) -> str:
         """Pieces as text, byte pieces as the bytes they are, without the blank put before the first word."""
@@ -300,24 +315,28 @@ class Pieces:
 
 
 def encode_pieces(docs: DataFrame, pieces: list[tuple[str, float, str]], n_best: int = N_BEST, text: str = "text") -> DataFrame:
-    """Adds piece_ids (array<int>), n_best_scores (array<double>, best first) and decoded.
+    """Adds piece_ids (array<int>), n_best_scores (array<double>, best first), decoded and n_best_ids (the ids of each of the n best).
 
     Null and empty texts have no ids, one score of 0 and decode to the empty text. All
-    rows and other columns stay (columns of the three names are replaced); texts are
+    rows and other columns stay (columns of the four names are replaced); texts are
     read whole; no shuffle. The piece table, of fixed size, is broadcast. Fewer than
-    `n_best` scores come back if the lattice has no more paths.
+    `n_best` segmentations come back if the lattice has no more paths.
     """
-    keep = [c for c in docs.columns if c.lower() not in ("piece_ids", "n_best_scores", "decoded")]
+    keep = [c for c in docs.columns if c.lower() not in ("piece_ids", "n_best_scores", "decoded", "n_best_ids")]
     docs = docs.select(*(f"`{c}`" for c in keep))
-    schema = T.StructType(docs.schema.fields + T.DataType.fromDDL("piece_ids array<int>, n_best_scores array<double>, decoded string").fields)
-    return docs.mapInArrow(_mapper(docs, pieces, n_best, text, schema, lambda p, body, ids, scores: (ids.astype("int32"), scores, p.decode(ids))), schema)
+    schema = T.StructType(docs.schema.fields + T.DataType.fromDDL("piece_ids array<int>, n_best_scores array<double>, decoded string, n_best_ids array<array<int>>").fields)
+    return docs.mapInArrow(_mapper(docs, pieces, n_best, text, schema, lambda p, body, ids, scores: (ids[0].astype("int32"), scores, p.decode(ids[0]), [x.astype("int32") for x in ids])), schema)
 
 
 def piece_digest(docs: DataFrame, pieces: list[tuple[str, float, str]], n_best: int = N_BEST, text: str = "text") -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of little-endian 32-bit ids), score, n_best_scores, round_trip (decoding gives the text back)."""
-    schema = T.StructType([docs.schema["doc_id"]] + T.DataType.fromDDL("n_pieces long, ids_sha256 string, score double, n_best_scores array<double>, round_trip boolean").fields)
+    """doc_id, n_pieces, ids_sha256 (of little-endian 32-bit ids), score, n_best_scores, round_trip (decoding gives the text back), n_best_sha256 (of the ids of each of the n best)."""
+    schema = T.StructType([docs.schema["doc_id"]] + T.DataType.fromDDL("n_pieces long, ids_sha256 string, score double, n_best_scores array<double>, round_trip boolean, n_best_sha256 array<string>").fields)
     docs = docs.select("doc_id", text)
-    return docs.mapInArrow(_mapper(docs, pieces, n_best, text, schema, lambda p, body, ids, scores: (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), scores[0], scores, p.decode(ids) == body), 1), schema)
+    return docs.mapInArrow(_mapper(docs, pieces, n_best, text, schema, lambda p, body, ids, scores: (len(ids[0]), _sha(ids[0]), scores[0], scores, p.decode(ids[0]) == body, [_sha(x) for x in ids]), 1), schema)
+
+
+def _sha(ids: np.ndarray) -> str:
+    return hashlib.sha256(ids.tobytes()).hexdigest()
 
 
 def _mapper(docs: DataFrame, pieces: list, n_best: int, text: str, schema: T.StructType, make, old: int | None = None):
@@ -340,7 +359,7 @@ def _mapper(docs: DataFrame, pieces: list, n_best: int, text: str, schema: T.Str
                 start += len(bodies)
                 words = [own.words(body) for body in bodies]
                 own.learn(words)
-                rows = [make(own, body, *own.encode_words(w, n_best)) for body, w in zip(bodies, words, strict=True)]
+                rows = [make(own, body, *own.segmentations(w, n_best)) for body, w in zip(bodies, words, strict=True)]
                 held = list(part.columns)[:old]
                 new = [pa.array(list(v), f.type) for v, f in zip(zip(*rows, strict=True), list(target)[len(held) :], strict=True)]
                 yield pa.RecordBatch.from_arrays(held + new, names=target.names)

@@ -429,6 +429,27 @@ def test_n_best_is_exact():
         assert p.decode(ids) == text
 
 
+def test_n_best_ids_are_returned(spark):
+    import hashlib
+
+    table = pieces.load_pieces(pieces.MODEL)
+    p = pieces.Pieces(table)
+    texts = ["the stone river", "a  b", "x\ny z", "東京 ok", " lead", "willow yarrow zephyr the", "", None]
+    df = frame(spark, list(enumerate(texts)))
+    digests = {r.doc_id: r for r in pieces.piece_digest(df, table).collect()}
+    for r in pieces.encode_pieces(df, table).collect():
+        best = [np.array(x, "<u4") for x in r.n_best_ids]
+        assert r.n_best_ids[0] == r.piece_ids and len(best) == len(r.n_best_scores) == len(set(map(tuple, r.n_best_ids)))
+        assert all(p.decode(x) == (r.text or "") for x in best)
+        assert digests[r.doc_id].n_best_sha256 == [hashlib.sha256(x.tobytes()).hexdigest() for x in best]
+        if r.text:
+            score = {i: x for i, (_, x, _) in enumerate(table)}
+            whole = p.nbest((" " + r.text).replace(" ", "▁"), 3)
+            assert np.allclose(r.n_best_scores, [x for x, _ in whole])
+            if r.text.isascii() and "\n" not in r.text:
+                assert np.allclose([sum(score[i] for i in x) for x in r.n_best_ids], r.n_best_scores)
+
+
 def test_pieces_round_trip(spark):
     table = pieces.load_pieces(pieces.MODEL)
     df = frame(spark, fixture())
