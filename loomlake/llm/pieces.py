@@ -16,8 +16,9 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
-#: Words kept with their segmentation, in each Python worker; longer ones aren't kept.
-CACHE, CACHE_CHARS = 400_000, 64
+#: Words kept with their segmentation, in each of two generations of a Python worker; longer ones aren't kept.
+#: A word and what is kept of it take under 800 bytes, mostly under 400: some 60 MB.
+CACHE, CACHE_CHARS = 80_000, 64
 
 
 def load_pieces(path: str) -> list[tuple[str, float, str]]:
@@ -46,13 +47,8 @@ class Pieces:
         # no piece goes on from another character into a blank or holds a newline: texts fall apart there
         self.apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.arcs)
         self.raw = [bytes([int(p[3:-1], 16)]) if k == "byte" else b"" if k == "control" else "⁇".encode() if k == "unknown" else p.replace(SPACE, " ").encode() for p, _, k in pieces]
-        self.trie: dict = {}
-        for p, hit in self.arcs.items():
-            node = self.trie
-            for ch in p:
-                node = node.setdefault(ch, {})
-            node[""] = hit
         self.cache: dict[str, tuple[bytes, float, float]] = {}
+        self.older: dict[str, tuple[bytes, float, float]] = {}
         self._tables()
 
     def lattice(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -113,7 +109,8 @@ class Pieces:
                         hits.append((0, -np.inf))
                     node = children[node][code[c]]
                 hits[node] = hit
-        self.step = np.zeros((len(children), len(self.letters) + 1), np.int32)
+        # 25 MB for 48,000 nodes and 255 letters, the one form in which these pieces are kept for look-up
+        self.step = np.zeros((len(children), len(self.letters) + 1), np.min_scalar_type(len(children)))
         for node, own in enumerate(children):
             for c, to in own.items():
                 self.step[node, c] = to
@@ -121,11 +118,16 @@ class Pieces:
         self.hit_scores = np.array([x for _, x in hits])
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Segments the words that aren't known yet, those of one length and known letters together."""
+        """Segments the words that aren't known yet, those of one length and known letters together.
+
+        Words in use come over from the older generation; a full generation becomes the older one.
+        """
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
         new = set().union(*texts).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = set().union(*texts)
+        for w in new & self.older.keys():
+            self.cache[w] = self.older[w]
+        new = {w for w in new if w not in self.older}
         by: dict[int, list[str]] = {}
         for w in new:
             by.setdefault(len(w), []).append(w)
@@ -145,7 +147,7 @@ class Pieces:
         best[0], tail[n] = 0.0, 0.0
 
         def arcs(a: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-            node = np.ones(m, np.int32)
+            node = np.ones(m, self.step.dtype)
             for b in range(a, min(n, a + self.longest)):
                 node = self.step[node, codes[:, b]]
                 if not node.any():
@@ -191,16 +193,15 @@ class Pieces:
         return out
 
     def _word(self, s: str) -> tuple[bytes, float, float]:
-        n, trie, worst = len(s), self.trie, float("-inf")
+        n, worst = len(s), float("-inf")
         best, back = [worst] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         froms, tos, scores, tokens = [], [], [], []
         for a in range(n):
-            here, node, b = best[a], trie, a
-            unknown = True
-            while b < n and (node := node.get(s[b])) is not None:
-                b += 1
-                if (hit := node.get("")) is not None:
+            here, unknown = best[a], True
+            for b in range(a + 1, min(n, a + self.longest) + 1):
+                part = s[a:b]
+                if (hit := self.arcs.get(part)) is not None:
                     if b == a + 1:
                         unknown = False
                     score = here + hit[1]
@@ -210,6 +211,8 @@ class Pieces:
                     tos.append(b)
                     scores.append(hit[1])
                     tokens.append(hit[0])
+                if part not in self.prefixes:
+                    break
             if unknown:
                 score = here + self.unknown_score
                 if score > best[a + 1]:
