@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows sent to Python at once while tables are written: rows of thousands of numbers must not come by the ten thousand.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,7 +49,12 @@ class Workspace:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(min(BATCH_ROWS, int(before))))
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, before)
         del df
         self.release()
         return self.spark.read.parquet(path)

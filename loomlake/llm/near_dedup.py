@@ -23,7 +23,7 @@ BASE, RATE, TOP = 1.02, 20.0, 65535
 #: Pairs whose likeliest similarity lies more than this below the threshold aren't verified: 5 standard deviations.
 MARGIN = 0.15
 #: A bucket's members are compared in blocks of at most about so many members, and shingles.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_500_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
 _A = (mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix64(np.arange(1001, 1001 + REGISTERS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _C = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(7919)) | np.uint64(1)
@@ -177,32 +177,54 @@ def _verify(percent: int):
 
 def _within(percent: int):
     def within(group):
-        """Links between members of a block pair that lie in different components so far: a spanning forest of them."""
-        import pandas as pd
-
-        group = group.drop_duplicates("k").reset_index(drop=True)
-        sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
-        size = np.array([len(s) for s in sets])
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        values, number = np.unique(np.concatenate(sets), return_inverse=True)
-        root = group["root"].to_numpy().copy()
-        k, side, edges = group["k"].to_numpy(), group["side"].to_numpy(), []
-        mark = np.zeros(len(values), bool)
-        common = pd.Series(root).mode().iloc[0]
-        for x in np.flatnonzero(root != common):
+        """Links between left (side 0, 2) and right (1, 2) members of a block in different components: a spanning forest."""
+        import pyarrow as pa
+
+        items = group.column("items").combine_chunks()
+        items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+        at = np.frombuffer(items.buffers()[1], np.int32)[items.offset : items.offset + len(items) + 1] // 8
+        flat = np.frombuffer(items.buffers()[2], np.uint64)[at[0] : at[-1]]
+        start, size = at[:-1] - at[0], np.diff(at)
+        values, number = np.unique(flat, return_inverse=True)
+        number = number.astype(np.int32)
+        k, root, side = (group.column(c).to_numpy().copy() for c in ("k", "root", "side"))
+        mark, edges = np.zeros(len(values), bool), []
+        for x in np.flatnonzero(side != 1).tolist():
             own = number[start[x] : start[x] + size[x]]
+            # sizes alone rule a pair out if they are too unlike
+            fit = (root != root[x]) & (side != 0) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
+            if not fit.any():
+                continue
             mark[own] = True
-            hits = np.add.reduceat(mark[number], start)
+            hits = np.add.reduceat(mark[number], start, dtype=np.int64)
             mark[own] = False
-            for y in np.flatnonzero(100 * hits >= percent * (size + size[x] - hits)):
-                if root[x] != root[y] and (side[x] != side[y] or side[x] == 2):
+            for y in np.flatnonzero(fit & (100 * hits >= percent * (size + size[x] - hits))).tolist():
+                if root[x] != root[y]:
                     edges.append((k[x], k[y]))
                     root[root == root[y]] = root[x]
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
     return within
 
 
+def _blocks_apart(placed: DataFrame) -> DataFrame:
+    """(key, i, j, side, k, root) of buckets (key, k, root, n) whose members lie in several components so far.
+
+    Members outside a bucket's largest component, dealt into blocks i, meet all members,
+    dealt into blocks j: those of the largest component are never held against each
+    other. A member is copied once for each block of the other side that it meets.
+    """
+    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    whole = by_root.groupBy("key").agg(F.max(F.struct("c", "s", "root")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("roots")).where(F.col("roots") > 1)
+    blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    apart = whole.select("key", F.col("top.root").alias("main"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("of_i"), blocks(F.col("c"), F.col("s")).alias("of_j"))
+    rest = placed.join(apart, "key").withColumn("i0", F.pmod(F.xxhash64("k"), "of_i").cast("int")).withColumn("j0", F.pmod(F.xxhash64(F.lit(1), "k"), "of_j").cast("int"))
+    left = rest.where(F.col("root") != F.col("main")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of_j") - 1)))
+    left = left.select("key", F.col("i0").alias("i"), "j", F.when(F.col("j") == F.col("j0"), 2).otherwise(0).alias("side"), "k", "root")
+    right = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("of_i") - 1))).where((F.col("root") == F.col("main")) | (F.col("i") != F.col("i0")))
+    return left.union(right.select("key", "i", F.col("j0").alias("j"), F.lit(1).alias("side"), "k", "root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row.
 
@@ -215,9 +237,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     Equal sets become one class at once (16-byte fingerprint). Classes that share a band
     of SetSketch registers are candidates. First each is held against the least of its
-    bucket: by likelihood of the registers, then on whole sets. Only buckets with members
-    still apart are then compared in full, in blocks of bounded size, and return a
-    spanning forest, never all pairs. So no candidate pair in different components goes
+    bucket: by likelihood of the registers, then on whole sets. In buckets with members
+    still apart, those outside the largest component are then held against all, in blocks
+    of bounded size that return a spanning forest, never all pairs. So no candidate pair in different components goes
     unverified. Texts are shuffled once, for the members of buckets of two and more.
     """
     spark = docs.sparkSession
@@ -226,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = ws.cut(docs.mapInArrow(_sketch(words), f"doc_id {kind}, n long, fp binary, regs binary"), "sketches")
-    grouped = sketches.where(F.col("n") > 0).groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("regs").alias("regs"))
+    grouped = sketches.where(F.col("n") > 0).groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.any_value("regs").alias("regs"))
     classes = ws.cut(grouped.withColumn("k", F.monotonically_increasing_id()), "classes")
 
     bands = ws.cut(classes.select("k", "regs").mapInArrow(_bands, "key long, k long"), "bands")
@@ -242,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     members = buckets.select("k").distinct().join(classes.select("k", "fp", "id"), "k")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
-    found = texts.mapInArrow(_sets(words), "fp binary, items binary").where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("items").alias("items"))
+    found = texts.mapInArrow(_sets(words), "fp binary, items binary").where(F.col("fp").isNotNull()).groupBy("fp").agg(F.any_value("items").alias("items"))
     sets = ws.cut(members.select("k", "fp").join(found, "fp").select("k", "items"), "sets")
 
     item = lambda x: sets.select(F.col("k").alias(x), F.col("items").alias(f"i{x}"))
@@ -251,12 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     placed = buckets.join(roots.withColumnRenamed("node", "k"), "k", "left").select("key", "k", F.coalesce("root", "k").alias("root"))
     placed = placed.join(classes.select("k", "n"), "k")
-    apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.sum("n").alias("s")).where(F.col("x") != F.col("y"))
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    rest = placed.join(apart.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "k", "root")
-    more = ws.cut(rest.join(sets, "k").groupBy("key", "i", "j").applyInPandas(_within(percent), "a long, b long"), "more")
+    more = ws.cut(_blocks_apart(placed).join(sets, "k").groupBy("key", "i", "j").applyInArrow(_within(percent), "a long, b long"), "more")
     final = components(ws, links.union(more), "last")
 
     ids = classes.select("fp", "k", "id").join(final.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
