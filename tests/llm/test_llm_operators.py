@@ -66,9 +66,13 @@ def roots(n, links):
     return [find(x) for x in range(n)]
 
 
-@pytest.mark.parametrize("words", [4, 5])
-def test_near_duplicates(spark, words):
+@pytest.mark.parametrize("words,block", [(4, 512), (5, 3)])
+def test_near_duplicates(spark, words, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
     rows = [r for r in fixture() if r[0] is not None]
+    # a bucket of several blocks: neighbours of a chain are linked, others share registers without a link
+    base = [f"w{k}" for k in range(120)]
+    rows += [(200 + k, " ".join(base[:k] + [f"x{j}" for j in range(k)] + base[2 * k :])) for k in range(0, 40)]
     sets = [shingles(t, words) for _, t in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = roots(len(rows), links)
@@ -255,6 +259,25 @@ def test_top_k_matches_brute_force(spark):
     assert bm25.top_k(empty(spark), frame_).count() == 0 and bm25.top_k(frame_, empty(spark)).count() == 0
 
 
+def test_blocks_and_postings_are_skipped(monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [rng.getrandbits(62) for _ in range(400)]
+    docs = [sorted(rng.choices(vocabulary, [1 / (k + 1) for k in range(400)], k=rng.randrange(5, 60))) for _ in range(1500)]
+    docs += [docs[7] + docs[7]] * 12
+    sets = [np.unique(np.array(d, np.int64), return_counts=True) for d in docs]
+    lengths, n = np.array([len(d) for d in docs]), len(docs)
+    index = bm25.Index(np.arange(n), [t for t, _ in sets], [c for _, c in sets], lengths).open(float(lengths.mean()))
+    df = dict(zip(index.terms.tolist(), np.diff(index.start).tolist()))
+    for q in (7, 8, 900):
+        idf = np.array([np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) for t in sets[q][0].tolist()])
+        weight = dict(zip(sets[q][0].tolist(), idf))
+        score = [sum(weight.get(t, 0) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * m / lengths.mean())) for t, c in zip(a.tolist(), b.tolist())) for (a, b), m in zip(sets, lengths)]
+        want = sorted(((round(float(s), 6), i) for i, s in enumerate(score) if s > 0), key=lambda x: (-x[0], x[1]))[:10]
+        for floor in (0.0, want[-1][0]):
+            assert index.search(sets[q][0], idf, 10, floor) == want
+    assert index.skipped > 0 and index.read > 0
+
+
 # ---- decontamination ---------------------------------------------------------------------
 
 
