@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Modules of this package that register queries.
+MODULES = ("reference", "scoring", "joins", "maintenance")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
@@ -21,9 +24,16 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
