@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import held_out, table, text_bytes
+from .common import held_out, parts, table, text_bytes
 from .fitting import labelled_sample
 
-#: At most so many documents of each label are learnt from, and so many chunks of each.
+#: At most so many documents of each label are learnt from, all their chunks, each document as much as another.
 SAMPLE = {0: 1500, 1: 1500}
-CHUNKS = 6
 #: Chunks are two blocks long and start every block: each byte lies in two chunks.
 BLOCK = 256
 WIDTH, STRIDE, FILTERS = 8, 4, 8
@@ -92,7 +91,15 @@ class ByteNet:
         """The mean chunk logit of each text; a text of one block is one chunk."""
         per = (1 << 18) // BLOCK
         repeats = repetition(data)
-        top = np.concatenate([self.responses(data, a * BLOCK, min(a + per, int(first[-1])) * BLOCK, repeats).reshape(-1, BLOCK // STRIDE, FILTERS).max(1) for a in range(0, int(first[-1]), per)])
+        final = np.zeros(int(first[-1]), bool)
+        final[first[1:] - 1] = True
+        top = []
+        for a in range(0, int(first[-1]), per):
+            r = self.responses(data, a * BLOCK, min(a + per, int(first[-1])) * BLOCK, repeats).reshape(-1, BLOCK // STRIDE, FILTERS)
+            # a text's last window would read the next text; like the one before, it is to read zeros
+            r[final[a : a + per], -1] = r[final[a : a + per], -2]
+            top.append(r.max(1))
+        top = np.concatenate(top)
         chunk = np.maximum(top, np.concatenate([top[1:], top[-1:]]))
         last = first[1:] - 1
         alone = np.diff(first) == 1
@@ -105,28 +112,33 @@ class ByteNet:
         return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -40, 40)))
 
 
-def train(chunks: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> ByteNet:
-    """Adam on the logistic loss of chunks (n x 2 * BLOCK bytes), each with its document's label."""
+def pooled(net: ByteNet, chunks: np.ndarray) -> np.ndarray:
+    """Responses of each chunk (n x places x FILTERS): at its own bytes, with its neighbours' read but not pooled."""
+    return net.responses(chunks.reshape(-1)).reshape(len(chunks), -1, FILTERS)[:, GAP // STRIDE : (GAP + 2 * BLOCK) // STRIDE]
+
+
+def train(chunks: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 3, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> ByteNet:
+    """Adam on the weighted logistic loss of chunks (n x GAP + 2 * BLOCK + GAP bytes), each with its document's label."""
     rng = np.random.default_rng(seed)
     net = ByteNet((rng.normal(size=(WIDTH, 256, FILTERS)) * 0.05).astype(np.float32), np.zeros((SPAN + 1, FILTERS), np.float32), (rng.normal(size=FILTERS) * 0.3).astype(np.float32))
     weights = [net.bytes, net.repeats, net.out]
     m, v, t = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     size, f = 64, np.arange(FILTERS)
-    balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    balance = weight * np.where(y == 1, 0.5 / weight[y == 1].sum(), 0.5 / weight[y == 0].sum()) * len(y)
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for a in range(0, len(order), size):
             pick = order[a : a + size]
             x = chunks[pick]
             flat = x.reshape(-1)
-            r = net.responses(flat).reshape(len(pick), -1, FILTERS)
+            r = pooled(net, x)
             at = r.argmax(1)
             h = np.tanh(np.take_along_axis(r, at[:, None], 1)[:, 0])
             p = 1 / (1 + np.exp(-np.clip(h @ net.out + net.bias, -30, 30)))
             g = (p - y[pick]) * balance[pick] / len(pick)
             back = g[:, None] * net.out * (1 - h * h)
             grads = [np.zeros_like(w) for w in weights]
-            place = at * STRIDE + (np.arange(len(pick)) * x.shape[1])[:, None]
+            place = at * STRIDE + GAP + (np.arange(len(pick)) * x.shape[1])[:, None]
             ends = np.concatenate([flat, np.zeros(WIDTH, np.uint8)])
             for j in range(WIDTH):
                 np.add.at(grads[0][j], (ends[place + j], f), back)
@@ -160,23 +172,22 @@ def calibrate(net: ByteNet, logit: np.ndarray, y: np.ndarray, counts: dict[int,
 def _training_chunks(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in parts(batches):
         raw, at = text_bytes(batch.column("text"))
         data, first = blocks_of(raw, at)
+        data = np.concatenate([np.zeros(GAP, np.uint8), data, np.zeros(2 * BLOCK + GAP, np.uint8)])
         ids, ys = batch.column("doc_id").to_pylist(), batch.column("y").to_pylist()
         out = []
         for k in range(batch.num_rows):
-            starts = np.arange(first[k], max(first[k] + 1, first[k + 1] - 1))
-            if len(starts) > CHUNKS:
-                starts = starts[np.linspace(0, len(starts) - 1, CHUNKS).astype(int)]
-            for s in starts:
-                x = data[s * BLOCK : min(s + 2, first[k + 1]) * BLOCK]
-                out.append((ids[k], ys[k], x.tobytes().ljust(2 * BLOCK, b"\0")))
+            for s in range(first[k], max(first[k] + 1, first[k + 1] - 1)):
+                x = data[s * BLOCK : (s + 2) * BLOCK + 2 * GAP].copy()
+                x[GAP + (min(s + 2, first[k + 1]) - s) * BLOCK :] = 0  # what follows the last block is another's
+                out.append((ids[k], ys[k], x.tobytes()))
         yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "y", "x"), r, strict=True)) for r in out], schema=pa.schema([("doc_id", batch.schema.field("doc_id").type), ("y", pa.int32()), ("x", pa.binary())]))
 
 
 def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", sample: dict[int, int] = SAMPLE) -> ByteNet:
-    """Learns from at most `sample` documents of each label, CHUNKS chunks of each, spread over its whole length.
+    """Learns from all chunks of at most `sample` documents of each label.
 
     Without labels of both kinds, the net gives every text the share of label 1 (0.5 without labels).
     """
@@ -189,11 +200,12 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label:
         share = (counts.get(1, 0) + 1e-3) / (sum(counts.values()) + 2e-3)
         return ByteNet(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros((SPAN + 1, FILTERS), np.float32), np.zeros(FILTERS, np.float32), shift=float(np.log(share / (1 - share))))
     chunks = np.array([np.frombuffer(x, np.uint8) for x in got.column("x").to_pylist()])
-    net = train(chunks, y)
     ids = np.array(got.column("doc_id").to_pylist())
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    logit = np.concatenate([np.tanh(net.responses(c.reshape(-1)).reshape(-1, c.shape[1] // STRIDE, FILTERS).max(1)) @ net.out + net.bias for c in np.array_split(chunks, max(1, len(chunks) // 512))])
-    calibrate(net, np.add.reduceat(logit, first) / np.diff(np.r_[first, len(ids)]), y[first], counts)
+    size = np.diff(np.r_[first, len(ids)])
+    net = train(chunks, y, np.repeat(1.0 / size, size))
+    logit = np.concatenate([np.tanh(pooled(net, c).max(1)) @ net.out + net.bias for c in np.array_split(chunks, max(1, len(chunks) // 512))])
+    calibrate(net, np.add.reduceat(logit, first) / size, y[first], counts)
     return net
 
 
@@ -213,11 +225,9 @@ def score_quality(docs: DataFrame, net: ByteNet, text: str = "text", into: str =
         import pyarrow as pa
 
         own = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                p = own.probability(own.logits(*blocks_of(*text_bytes(part.column(text)))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=schema.names)
+        for part in parts(batches, text=text):
+            p = own.probability(own.logits(*blocks_of(*text_bytes(part.column(text)))))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(score, schema)
 
