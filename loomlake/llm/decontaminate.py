@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import byte_table, table, text_bytes
+from .common import Workspace, byte_table, let_go, table, text_bytes
 
 WINDOW = 10
-#: Bytes of item texts in one automaton. More items make more automata, read one after another.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item texts in one automaton: some 35 MB of a task's memory, 120 MB of the driver's while it is built.
+BLOCK_BYTES = 1 << 20
+#: More items make more automata. So many are read in one pass over the documents; then the table is written.
+CHAIN = 4
 
 
 class SuffixAutomaton:
@@ -22,13 +26,12 @@ class SuffixAutomaton:
 
     def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.items = [-1], [0], [set()]
+        self.link, self.length = [-1], [0]
 
     def _state(self, length: int, nexts: dict[int, int], link: int) -> int:
         self.next.append(nexts)
         self.length.append(length)
         self.link.append(link)
-        self.items.append(set())
         return len(self.next) - 1
 
     def _split(self, p: int, q: int, w: int) -> int:
@@ -52,13 +55,35 @@ class SuffixAutomaton:
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
         return cur
 
+    def freeze(self) -> FrozenAutomaton:
+        return FrozenAutomaton(self)
+
+
+class FrozenAutomaton:
+    """A finished automaton in flat arrays: about 25 bytes a state and arc instead of the 500 of sets and dictionaries."""
+
+    def __init__(self, grown: SuffixAutomaton) -> None:
+        self.base = 1 + max((max(x, default=0) for x in grown.next), default=0)
+        arcs = sorted((s * self.base + w, to) for s, own in enumerate(grown.next) for w, to in own.items())
+        self.arcs, self.to = array("q", (a for a, _ in arcs)), array("i", (t for _, t in arcs))
+        self.link, self.length = array("i", grown.link), array("i", grown.length)
+        self.items: dict[int, tuple[int, ...]] = {}
+
+    def after(self, state: int, w: int) -> int:
+        """The state that an arc leads to, or -1."""
+        if not 0 <= w < self.base:
+            return -1
+        at = bisect_left(self.arcs, key := state * self.base + w)
+        return self.to[at] if at < len(self.arcs) and self.arcs[at] == key else -1
+
     def step(self, state: int, length: int, w: int) -> tuple[int, int]:
         """After one more word: the state and the length of the longest match that ends there."""
-        while state and w not in self.next[state]:
+        while (to := self.after(state, w)) < 0:
+            if not state:
+                return 0, 0
             state = self.link[state]
             length = self.length[state]
-        to = self.next[state].get(w)
-        return (0, 0) if to is None else (to, length + 1)
+        return to, length + 1
 
 
 class ItemMatcher:
@@ -81,13 +106,15 @@ class ItemMatcher:
             last = 0
             for w in ids:
                 last = automaton.extend(last, w)
-        self.automaton = automaton
+        self.automaton = automaton = automaton.freeze()
+        windows: dict[int, set[int]] = {}
         for k, ids in enumerate(kept):  # a state's windows: those of the items that pass it at the window's length
             state = length = 0
             for w in ids if len(ids) >= window else ():
                 state, length = automaton.step(state, length, w)
                 if length >= window:
-                    automaton.items[self._at(state)].add(k)
+                    windows.setdefault(self._at(state), set()).add(k)
+        automaton.items = {s: tuple(sorted(x)) for s, x in windows.items()}
         self.short_lengths = sorted({len(x) for x in self.short})
         self.least = min([window, *self.short_lengths])
         pairs = {(a, b) for ids in kept for a, b in zip(ids, ids[1:])}
@@ -97,7 +124,7 @@ class ItemMatcher:
     def _at(self, state: int) -> int:
         """The suffix of `window` words of what a state stands for."""
         a = self.automaton
-        while a.length[a.link[state]] >= self.window:
+        while a.link[state] >= 0 and a.length[a.link[state]] >= self.window:
             state = a.link[state]
         return state
 
@@ -135,7 +162,7 @@ class ItemMatcher:
         for i, w in enumerate(run):
             state, length = automaton.step(state, length, w)
             if length >= self.window:
-                found |= automaton.items[self._at(state)]
+                found.update(automaton.items[self._at(state)])
                 hit(a + i + 1 - self.window, a + i + 1)
             for n in self.short_lengths:
                 if n > length:
@@ -167,17 +194,20 @@ def benchmark_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, tex
     words no windows, equal items all count, a null item id is the empty string. Every
     row and column stays (columns of the four names are replaced); texts are read whole.
 
-    The automaton of at most `block_bytes` of item texts goes to each task; beyond that
-    bound more automata follow in the same pass, each adding to the spans so far. Docs
-    aren't shuffled.
+    The automaton of at most `block_bytes` of item texts (one longer item is a block of its
+    own) goes to each task; beyond that bound more automata follow, CHAIN in a pass, each
+    adding to the spans so far. Docs aren't shuffled.
     """
     spark = docs.sparkSession
     ship(spark)
     keep = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "spans", "items")]
     out = docs.select(*(F.col(f"`{c}`") for c in keep))
     added = T.DataType.fromDDL("n_words long, n_hit long, spans array<struct<start: int, end: int>>, items array<string>")
-    first = True
-    for block in _blocks(items, item_id, item_text, block_bytes):
+    first, ws = True, None
+    for number, block in enumerate(_blocks(items, item_id, item_text, block_bytes)):
+        if number and number % CHAIN == 0:
+            ws = ws or Workspace(spark, "spans")
+            out = ws.cut(out, str(number))
         shared = spark.sparkContext.broadcast(ItemMatcher(block, window))
         schema = T.StructType(list(out.schema.fields) + (list(added.fields) if first else []))
         out = out.mapInArrow(_reader(shared, text, first, schema), schema)
@@ -190,6 +220,7 @@ def _reader(shared, text: str, first: bool, schema: T.StructType):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        let_go()
         matcher, target = shared.value, to_arrow_schema(schema)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -231,9 +262,10 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
     A span goes from its first word's first character to its last word's last; separators
     stay. Rows that aren't hit keep their text as it is, nulls too. Columns stay.
     """
-    out = benchmark_spans(docs, items, window)
-    columns = docs.columns
-    schema = docs.schema
+    # whole rows travel as one column, so that no name of theirs can meet another
+    rows = docs.select(F.col("text"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
+    out = benchmark_spans(rows, items, window)
+    schema = T.StructType([out.schema["row"], T.StructField("left", T.StringType())])
 
     def cut(batches: Iterator) -> Iterator:
         import re
@@ -256,10 +288,10 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
                     done = at[s["end"] - 1][1]
                 left.append(raw[done:])
                 new.append(b"".join(left).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(new, texts.type) if c == "text" else batch.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], names=["row", "left"])
 
-    kept = out.where((F.col("n_hit") == 0) | (F.col("n_hit") <= coverage * F.col("n_words"))).select(*(F.col(f"`{c}`") for c in columns), "spans")
-    return kept.mapInArrow(cut, schema)
+    kept = out.where((F.col("n_hit") == 0) | (F.col("n_hit") <= coverage * F.col("n_words"))).select("text", "row", "spans")
+    return kept.mapInArrow(cut, schema).select(*(F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
