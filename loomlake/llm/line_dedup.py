@@ -12,8 +12,8 @@ from .common import Workspace, table
 from .components import components
 
 SHINGLE, SIMILARITY = 8, 0.8
-#: A pair of similarity 0.8 shares none of 12 bands of 4 minima about once in 500, of 0.9 once in 90,000.
-BANDS, ROWS = 12, 4
+#: A pair of similarity 0.8 shares none of 9 bands of 3 minima about once in 640, of 0.9 once in 140,000.
+BANDS, ROWS = 9, 3
 #: A bucket with more than HOT of about SAMPLE sampled lines is dealt out over SALTS tasks.
 SAMPLE, HOT, SALTS = 50_000, 200, 64
 #: Members of a bucket that are still apart are compared in blocks of at most about so many members, and shingles.
@@ -196,10 +196,10 @@ def mark_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     lose nothing (`gone` is empty). Other columns stay; one named `gone` is replaced.
     """
     ws = Workspace(docs.sparkSession, "lines")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("gone", "r1", "r2")]
     gone = ws.cut(line_groups(ws, docs, doc_id, text, similarity), "gone")
-    keyed = docs.select(*keep, *row_key(F.col(doc_id), F.col(text)))
-    return keyed.join(gone, ["r1", "r2"], "left").select(*keep, F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    # whole rows travel as one column, so that no name of theirs can meet another
+    keyed = docs.select(F.struct(*(f"`{c}`" for c in docs.columns if c.lower() != "gone")).alias("row"), *row_key(F.col(doc_id), F.col(text)))
+    return keyed.join(gone, ["r1", "r2"], "left").select("row.*", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
 
 def without_lines(text: Column, gone: Column) -> Column:
@@ -208,10 +208,11 @@ def without_lines(text: Column, gone: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Texts without the lines that `mark_lines` marks; rows that lose all lines with words go. Columns stay."""
-    marked = mark_lines(docs, "doc_id", text, similarity)
+    rows = docs.select("doc_id", text, F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
+    marked = mark_lines(rows, "doc_id", text, similarity)
     left = F.when(F.size("gone") == 0, F.col(text)).otherwise(without_lines(F.col(text), F.col("gone")))
-    out = marked.withColumn("_left", left).where((F.size("gone") == 0) | (F.trim(F.translate("_left", "\n\r\t", "")) != ""))
-    return out.select(*(F.col("_left").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    out = marked.select("row", "gone", left.alias("left")).where((F.size("gone") == 0) | (F.trim(F.translate("left", "\n\r\t", "")) != ""))
+    return out.select(*(F.col("left").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
