@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -77,6 +79,49 @@ class Workspace:
             return
 
 
+_held: dict = {}
+
+
+def hold(name: str, key, make):
+    """What a Python worker keeps from task to task: one thing at a time.
+
+    Workers are shared by all operators of a session, so what one has built must not stay
+    while another works.
+    """
+    if (name, key) not in _held:
+        let_go()
+        _held[name, key] = make()
+    return _held[name, key]
+
+
+def let_go() -> None:
+    """Drops what the worker keeps and gives its memory back to the system; others call it when they begin."""
+    if not _held:
+        return
+    _held.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it returns memory in its own time
+        return
+
+
+def parts(batches: Iterator, rows: int = 256, size: int = 4 << 20, text: str = "text") -> Iterator:
+    """Arrow batches in slices of at most `rows` rows and, if they have texts, about `size` bytes of these; a longer text is alone."""
+    import pyarrow.compute as pc
+
+    let_go()
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) if text in batch.schema.names else None
+        a = 0
+        while a < batch.num_rows:
+            b = min(a + rows, batch.num_rows)
+            if ends is not None:
+                b = min(b, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right"))))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 0. A null id counts as the empty text (held out)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0

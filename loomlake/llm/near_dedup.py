@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Workspace, byte_table, mix64, table, text_bytes
+from .common import Workspace, byte_table, mix64, parts, table, text_bytes
 from .components import components
 
 WORDS, PERCENT = 4, 80
@@ -102,19 +102,15 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
     return np.take_along_axis(j, score.argmax(1)[:, None], 1)[:, 0]
 
 
-def _parts(batches: Iterator, size: int = 256) -> Iterator:
-    for batch in batches:
-        for a in range(0, batch.num_rows, size):
-            yield batch.slice(a, size)
-
-
 def _sketch(words: int):
+    """Of each row: doc_id, mark (of its text), size, fingerprint and registers of its set."""
+
     def sketch(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in _parts(batches):
+        for part in parts(batches):
             sets = shingle_sets(*text_bytes(part.column("text")), words)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.binary()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "fp", "regs"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.binary()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "mark", "n", "fp", "regs"])
 
     return sketch
 
@@ -127,7 +123,7 @@ def _sets(words: int):
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in _parts(batches):
+        for part in parts(batches):
             found = shingle_sets(*text_bytes(part.column("text")), words)
             yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["fp", "items"])
 
@@ -137,7 +133,7 @@ def _sets(words: int):
 def _bands(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for part in _parts(batches, 4096):
+    for part in parts(batches, 4096):
         r = np.frombuffer(b"".join(part.column("regs").to_pylist()), "<u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
         key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], len(r), 0)
         for j in range(ROWS):
@@ -149,7 +145,7 @@ def _likely(threshold: float):
     def likely(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in _parts(batches, 2048):
+        for part in parts(batches, 2048):
             a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("ra", "rb"))
             j = likely_jaccard(a, b, part.column("na").to_numpy().astype(float), part.column("nb").to_numpy().astype(float))
             yield part.select(["a", "b"]).filter(pa.array(j >= threshold))
@@ -165,7 +161,7 @@ def _verify(percent: int):
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in _parts(batches, 512):
+        for part in parts(batches, 512):
             good = []
             for x, y in zip(part.column("ia").to_pylist(), part.column("ib").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -242,12 +238,39 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     of bounded size that return a spanning forest, never all pairs. So no candidate pair in different components goes
     unverified. Texts are shuffled once, for the members of buckets of two and more.
     """
+    out = _classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words, percent)
+    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, and every row without words; columns stay.
+
+    Of a group the row of the least doc_id (nulls first), then of the least hash of its
+    text, stays; of rows equal in both one stays. Links are those of near_duplicates.
+    """
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    out = _classes(named, words, percent)
+    alone = out.where(F.col("fp").isNull()).select("doc_id", "mark", F.lit(1).alias("n"))
+    first = out.where(F.col("fp").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    # how many rows share the first one's id and text: of these but one go
+    repeats = out.where(F.col("fp").isNotNull()).groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    first = first.select("first.*").alias("f").join(repeats.alias("r"), F.col("f.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("f.mark") == F.col("r.mark"))).select("f.doc_id", "f.mark", "r.n")
+    stay = Workspace(docs.sparkSession, "stay").cut(first.union(alone.withColumn("n", F.lit(1).cast("long"))).distinct(), "rows")
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"))
+    found = rows.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.mark") == F.col("s.mark"))).select("d.*", "s.n")
+    once = found.where(F.col("n") > 1).groupBy("doc_id", "mark").agg(F.first("row").alias("row"))
+    return found.where(F.col("n") == 1).select("row").union(once.select("row")).select("row.*")
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n, fp, root, component_id) of each row; fp is null without words."""
     spark = docs.sparkSession
     ship(spark)
     ws = Workspace(spark, "near")
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketches = ws.cut(docs.mapInArrow(_sketch(words), f"doc_id {kind}, n long, fp binary, regs binary"), "sketches")
+    marked = docs.withColumn("mark", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    sketches = ws.cut(marked.mapInArrow(_sketch(words), f"doc_id {kind}, mark long, n long, fp binary, regs binary"), "sketches")
     grouped = sketches.where(F.col("n") > 0).groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.any_value("regs").alias("regs"))
     classes = ws.cut(grouped.withColumn("k", F.monotonically_increasing_id()), "classes")
 
@@ -278,10 +301,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     ids = classes.select("fp", "k", "id").join(final.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = ids.join(least, "root").select("fp", "component_id")
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = ids.join(least, "root").select("fp", "root", "component_id")
+    return sketches.select("doc_id", "mark", "n", "fp").join(named, "fp", "left")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import table
+from .common import hold, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -370,16 +370,9 @@ def _mapper(docs: DataFrame, pieces: list, n_best: int, text: str, schema: T.Str
     return encode
 
 
-_kept: dict[int, Pieces] = {}
-
-
 def _worker(pieces: list) -> Pieces:
-    """One table for all tasks of a Python worker, so that its words stay known."""
-    key = hash((len(pieces), pieces[-1], pieces[len(pieces) // 2])) if pieces else 0
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Pieces(pieces)
-    return _kept[key]
+    """One table for all tasks of a Python worker, so that its words stay known until another operator begins."""
+    return hold("pieces", hash((len(pieces), pieces[-1], pieces[len(pieces) // 2])) if pieces else 0, lambda: Pieces(pieces))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

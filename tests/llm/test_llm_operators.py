@@ -85,6 +85,25 @@ def test_near_duplicates(spark, words, block, monkeypatch):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = fixture()
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, mark int")
+    sets = [shingles(t, 5) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = roots(len(rows), links)
+    groups = {}
+    for k, r in enumerate(root):
+        groups.setdefault(r, []).append(k)
+    got = near_dedup.one_of_each(df, 5).collect()
+    kept = {r.mark for r in got}
+    assert len(kept) == len(got) == sum(1 if sets[g[0]] else len(g) for g in groups.values())
+    for g in groups.values():
+        assert len(kept & set(g)) == (1 if sets[g[0]] else len(g))
+        least = min(g, key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
+        assert not sets[g[0]] or {rows[k][0] for k in kept & set(g)} == {rows[least][0]}
+    assert near_dedup.one_of_each(df.limit(0), 5).count() == 0
+
+
 def test_set_sketches_merge_and_estimate():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
@@ -185,6 +204,17 @@ def test_dedup_lines_keeps_clean_rows(spark):
     assert got == {1: ("a line that is here\nand one more", "x"), 3: (None, "z"), 4: ("", None)}
 
 
+def test_lines_and_spans_keep_columns_of_any_name(spark):
+    item = " ".join(WORDS[:12])
+    df = spark.createDataFrame([(1, f"a line that is here\n{' '.join(WORDS)} more", "p", 5, 6, 7), (2, "A line that is here", "q", None, 6, 7), (3, None, None, 5, 6, 7)], "doc_id long, text string, r1 string, r2 int, row int, left int")
+    got = {r.doc_id: tuple(r) for r in line_dedup.dedup_lines(df).collect()}
+    assert got[1][2:] == ("p", 5, 6, 7) and got[3] == (3, None, None, 5, 6, 7) and 2 not in got
+    assert {r.doc_id: (r.r1, r.row, len(r.gone)) for r in line_dedup.mark_lines(df).collect()} == {1: ("p", 6, 0), 2: ("q", 6, 1), 3: (None, 6, 0)}
+    odd = df.toDF("doc_id", "text", "spans", "n_words", "items", "n_hit")
+    got = {r.doc_id: tuple(r) for r in decontaminate.remove_spans(odd, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got[1][2:] == ("p", 5, 6, 7) and item not in got[1][1] and got[2][1:3] == ("A line that is here", "q") and got[3] == (3, None, None, 5, 6, 7)
+
+
 # ---- sharding ----------------------------------------------------------------------------
 
 
@@ -354,6 +384,29 @@ def test_long_tokens_are_decoded(spark):
     assert restorer.token("1d10t".replace("d", "d" + "." * 300).encode()) == ("idiot",)
 
 
+def test_network_in_blocks_matches_a_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    f = quality.FILTERS
+    net = quality.ByteNet(rng.normal(size=(quality.WIDTH, 256, f)).astype(np.float32), rng.normal(size=(quality.SPAN + 1, f)).astype(np.float32), rng.normal(size=f).astype(np.float32), 0.1)
+    texts = [b"", b"short", bytes(rng.integers(97, 101, 255, dtype=np.uint8)), bytes(rng.integers(97, 122, 1900, dtype=np.uint8)), b"abcabcabc " * 90]
+
+    def plain(text):
+        n = -(-(len(text) + quality.GAP) // quality.BLOCK)
+        data = text.ljust(n * quality.BLOCK, b"\0") + bytes(64)
+        places = []
+        for at in range(0, n * quality.BLOCK, quality.STRIDE):
+            pair = lambda p: data[p : p + 2] if p >= 0 else bytes(2)[: 2 + min(0, p + 2)] + data[: max(0, p + 2)] if p > -2 else b"\0\0"
+            best = 0 if data[at : at + 2] == b"\0\0" else max(sum(pair(at + 2 * k) == pair(at + 2 * k - lag) for k in range(quality.SPAN)) for lag in quality.LAGS)
+            places.append(sum(net.bytes[j][data[at + j]] for j in range(quality.WIDTH)) + net.repeats[best])
+        per = quality.BLOCK // quality.STRIDE
+        chunks = [places] if n == 1 else [places[k * per : (k + 2) * per] for k in range(n - 1)]
+        return np.mean([np.tanh(np.max(c, 0)) @ net.out + net.bias for c in chunks])
+
+    raw, at = b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = net.logits(*quality.blocks_of(raw, at))
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-3)
+
+
 def test_spaced_words_of_any_letters_and_runs_of_any_length(spark):
     docs = spark.createDataFrame([("the stone river is a stupid idiot dümmling " * 50,)], "text string")
     restorer = toxicity.Restorer(toxicity.Decoder(toxicity.fit_characters(docs)))
