@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomlake.llm.common import Workspace, table
 from loomlake.llm.decontaminate import remove_spans
 from loomlake.llm.line_dedup import dedup_lines
-from loomlake.llm.near_dedup import near_duplicates
+from loomlake.llm.near_dedup import one_of_each
 from loomlake.llm.pieces import MODEL, load_pieces, piece_digest
 from loomlake.llm.quality import THRESHOLD, fit_quality, score_quality
 
@@ -25,29 +25,48 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality of THRESHOLD or more, by a net fitted on these documents' labels."""
+    """Documents with a quality of THRESHOLD or more, by a net fitted on these documents' labels.
+
+    Null and empty texts are judged as a chunk of zeros; repeated rows return alike.
+    Without labels of both kinds every text gets the share of label 1 (0.5 without labels,
+    so that all stay).
+    """
     net = fit_quality(spark, docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return score_quality(docs, net, into="_quality").where(F.col("_quality") >= THRESHOLD).select(*(f"`{c}`" for c in docs.columns))
+    rows = docs.select("text", F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
+    return score_quality(rows, net).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated and similar lines; documents that had nothing else go."""
+    """Texts without repeated and similar lines; documents that had nothing else go.
+
+    Null and empty texts stay as they are. Rows equal in id and text count as one and return
+    alike; of equal lines the one of the least id stays.
+    """
     return _counted(dedup_lines(docs), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    kept = near_duplicates(docs, WORDS, PERCENT).where("kept").select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    """One document of each group of near duplicates: the least id, and of rows equal in id and text one.
+
+    Documents without words are in no group and all stay, nulls too.
+    """
+    return one_of_each(docs, WORDS, PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without benchmark passages; documents that are mostly such go."""
+    """Texts without benchmark passages; documents that are mostly such go.
+
+    Null and empty texts stay as they are; repeated rows return alike; without items all stay.
+    """
     return _counted(remove_spans(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's piece ids (as a digest), scores and round trip."""
+    """Each document's piece ids (as a digest), scores, round trip and n best segmentations.
+
+    Null and empty texts have no pieces; repeated rows return alike; of equally good
+    segmentations the one whose ids come first is the better one.
+    """
     return piece_digest(docs, load_pieces(MODEL))
 
 
