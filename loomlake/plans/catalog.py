@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules of this package that register queries.
-MODULES = ("reference", "scoring", "joins", "maintenance")
+MODULES = ("reference", "scoring", "joins", "maintenance", "texts")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

@@ -360,11 +360,6 @@ def fact_compaction(spark: SparkSession, d: str) -> DataFrame:
 # ---- text ------------------------------------------------------------------------------
 
 
-@register("fixed_chunks", "SELECT doc_id AS id, CAST(i AS INTEGER) AS chunk_index, substr(text, i * 1848 + 1, 2048) AS content FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 2048 THEN 1 ELSE CAST(ceil((length(text) - 200) / 1848.0) AS BIGINT) END)) AS i FROM documents WHERE length(text) > 0)")
-def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.fixed_chunks(table(spark, d, "documents"), "doc_id", "text")
-
-
 @register("line_chunks", "SELECT id, chunk_index, content FROM (SELECT doc_id AS id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INTEGER) AS chunk_index, unnest(string_split(text, chr(10))) AS content FROM documents) WHERE trim(content) <> ''")
 def line_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.line_chunks(table(spark, d, "documents"), "doc_id", "text")
