@@ -42,11 +42,20 @@ def calibrated(lists: DataFrame, weights: dict[str, float] | None = None) -> Dat
     return placed.groupBy("id").agg(F.sum(_weight(weights) * F.col("norm")).alias("score"), F.count("*").alias("channels"))
 
 
-def interleave(lists: DataFrame, k: int = RRF_K) -> DataFrame:
-    """By best rank, then more channels, then id; score is 1 / (k + position)."""
-    best = ranked(lists).groupBy("id").agg(F.min("rank").alias("best_rank"), F.count("*").alias("channels"))
-    at = F.row_number().over(Window.orderBy("best_rank", F.col("channels").desc(), "id"))
-    return best.withColumn("position", at).withColumn("score", 1 / (k + F.col("position")))
+def interleave(lists: DataFrame, priority: list[str], k: int = RRF_K, most: int | None = None) -> DataFrame:
+    """Union by best rank, then more channels, then the best channel's priority and min-max score, then id as text; score is 1 / (k + position).
+
+    `most` cuts each channel to its best first. Positions number one whole list, so that
+    step runs in one task over (id, key) rows: give `most` where channels aren't short.
+    """
+    at = F.array_position(F.array(*map(F.lit, priority)), F.col("channel"))
+    placed = ranked(lists)
+    placed = placed.where(F.col("rank") <= most) if most else placed
+    placed = placed.withColumn("norm", min_max(F.col("score"), "channel"))
+    best = placed.groupBy("id").agg(F.min(F.struct("rank", at.alias("at"), (-F.col("norm")).alias("norm"))).alias("x"), F.count("*").alias("channels"))
+    best = best.select("id", F.col("x.rank").alias("best_rank"), "channels", "x.at", "x.norm")
+    order = Window.orderBy("best_rank", F.col("channels").desc(), "at", "norm", F.col("id").cast("string"))
+    return best.withColumn("position", F.row_number().over(order)).withColumn("score", 1 / (k + F.col("position"))).drop("at", "norm")
 
 
 def _weight(weights: dict[str, float] | None) -> Column:
@@ -96,14 +105,13 @@ def sessionize(events: DataFrame, by: str, ts: str, gap_seconds: int, into: str
     return events.withColumn("_new", new).withColumn(into, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def mmr(candidates: DataFrame, k: int, lam: float = 0.7, most: int = 1000) -> DataFrame:
+def mmr(candidates: DataFrame, k: int, lam: float = 0.7) -> DataFrame:
     """Greedy maximal marginal relevance per query_id over (query_id, id, score, embedding).
 
-    Candidates are cut to the `most` best first (the operator's own limit): the greedy
-    walk needs a query's list in one task, which this bounds. Ties go to the least id.
+    The greedy walk needs a query's whole list in one task: candidates are what a query's
+    channels have already cut to their best. Ties go to the least id.
     """
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    bounded = candidates.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+    bounded = candidates
 
     def pick(pdf):
         import numpy as np

@@ -26,10 +26,24 @@ def nearest(vectors: DataFrame, query: list[float], k: int, minimum: float = 0.0
     return vectors.select(F.col(id).alias("id"), cosine(F.col(embedding), q).alias("score")).orderBy(F.col("score").desc(), "id").limit(k).where(F.col("score") >= minimum)
 
 
-def block_pairs(left: DataFrame, key: str, id: str, threshold: float, embedding: str = "embedding") -> DataFrame:
-    """Pairs (a, b, score) with a < b, one block key, and a cosine of `threshold` or more."""
-    side = lambda x: left.select(F.col(key).alias("k"), F.col(id).alias(x), F.col(embedding).alias(f"e{x}"))
-    return side("a").join(side("b"), "k").where(F.col("a") < F.col("b")).select("a", "b", cosine(F.col("ea"), F.col("eb")).alias("score")).where(F.col("score") >= threshold).distinct()
+def block_pairs(rows: DataFrame, keys: Column, id: str, threshold: float, embedding: str = "embedding") -> DataFrame:
+    """Pairs (a, b, score) with a < b that share one of their blocking keys (an array) and have a cosine of `threshold` or more.
+
+    Ids alone are paired and made distinct; each vector is scaled once and joins the pairs.
+    Keys should be fine: pairs grow with the square of a key's rows.
+    """
+    keyed = rows.select(F.col(id).alias("id"), F.explode(F.array_distinct(keys)).alias("k"))
+    side = lambda x: keyed.select("k", F.col("id").alias(x))
+    pairs = side("a").join(side("b"), "k").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    length = norm(F.col(embedding))
+    unit = rows.select(F.col(id).alias("id"), F.transform(embedding, lambda x: F.when(length == 0, F.lit(0.0)).otherwise(x.cast("double") / length)).alias("e"))
+    unit_side = lambda x: unit.select(F.col("id").alias(x), F.col("e").alias(f"e{x}"))
+    return pairs.join(unit_side("a"), "a").join(unit_side("b"), "b").select("a", "b", dot(F.col("ea"), F.col("eb")).alias("score")).where(F.col("score") >= threshold)
+
+
+def sign_keys(vector: Column, bands: int, bits: int) -> Column:
+    """Blocking keys of a vector without a name: the signs of `bits` values each, with the number of the band."""
+    return F.array(*(F.concat(F.lit(f"{b}:"), F.array_join(F.transform(F.slice(vector, b * bits + 1, bits), lambda x: F.when(x >= 0, "1").otherwise("0")), "")) for b in range(bands)))
 
 
 def centroids(vectors: DataFrame, by: str, embedding: str = "embedding", weight: Column | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ b AS (SELECT id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (t
 
 @register("bm25_search", f"WITH {BM25_SQL} SELECT id, round(score, 6) AS score FROM b ORDER BY round(score, 6) DESC, id LIMIT 20")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(lexical.tokens(table(spark, d, "documents"), "doc_id", "text"), QUERY, 20).select("id", _r("score").alias("score"))
+    return lexical.search(table(spark, d, "documents"), "doc_id", lexical.words(F.col("text")), QUERY, 20).select("id", _r("score").alias("score"))
 
 
 COS = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))"
@@ -46,9 +46,10 @@ def knn_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(table(spark, d, "embeddings"), _query_vector(spark, d), 20, 0.1, "vec_id").select("id", _r("score").alias("score"))
 
 
-@register("block_cosine_join", "SELECT e.vec_id AS a, q.vec_id AS b, round(" + COS + ", 6) AS score FROM embeddings e JOIN embeddings q ON e.label = q.label AND e.vec_id < q.vec_id WHERE " + COS + " >= 0.8")
+@register("block_cosine_join", "WITH k AS (SELECT DISTINCT vec_id, unnest(list_transform(range(0, 8), lambda b: b || ':' || array_to_string(list_transform(embedding[b * 8 + 1 : b * 8 + 8], lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), ''))) AS k FROM embeddings), p AS (SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM k a JOIN k b ON a.k = b.k AND a.vec_id < b.vec_id), s AS (SELECT a, b, " + COS + " AS score FROM p JOIN embeddings e ON e.vec_id = a JOIN embeddings q ON q.vec_id = b) SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.3")
 def block_cosine_join(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.block_pairs(table(spark, d, "embeddings"), "label", "vec_id", 0.8).select("a", "b", _r("score").alias("score"))
+    e = table(spark, d, "embeddings")
+    return vectors.block_pairs(e, vectors.sign_keys(F.col("embedding"), 8, 8), "vec_id", 0.3).select("a", "b", _r("score").alias("score"))
 
 
 @register("label_centroids", "WITH f AS (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, dim, avg(CAST(x AS DOUBLE)) AS v FROM f GROUP BY ALL) SELECT label, CAST(dim AS INTEGER) AS dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS value FROM m")
@@ -87,9 +88,9 @@ _fused("calibrated_fusion", lambda x: ranking.calibrated(x, WEIGHTS), "sum(w * n
 _fused("comb_mnz", lambda x: ranking.comb_mnz(x, WEIGHTS), "count(*) * sum(w / (60 + rank))")
 
 
-@register("best_rank_interleave", f"WITH {LISTS}, b AS (SELECT id, min(rank) AS best_rank, count(*) AS channels FROM r GROUP BY id) SELECT id, best_rank, channels, round(1.0 / (60 + row_number() OVER (ORDER BY best_rank, channels DESC, id)), 8) AS score FROM b")
+@register("best_rank_interleave", f"WITH {LISTS}, b AS (SELECT id, min(rank) AS best_rank, count(*) AS channels, min(struct_pack(r := rank, p := CASE channel WHEN 'value' THEN 0 ELSE 1 END, n := -norm)) AS x FROM r GROUP BY id) SELECT id, best_rank, channels, round(1.0 / (60 + row_number() OVER (ORDER BY best_rank, channels DESC, x.p, x.n, CAST(id AS VARCHAR))), 8) AS score FROM b")
 def best_rank_interleave(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.interleave(_channels(spark, d)).select("id", F.col("best_rank").cast("long").alias("best_rank"), "channels", _r("score", 8).alias("score"))
+    return ranking.interleave(_channels(spark, d), ["value", "count"]).select("id", F.col("best_rank").cast("long").alias("best_rank"), "channels", _r("score", 8).alias("score"))
 
 
 @register("hybrid_recall", f"""WITH {BM25_SQL}, v AS (SELECT e.vec_id AS id, round({COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY score DESC, id LIMIT 50),
@@ -100,7 +101,7 @@ SELECT id, round(sum(CASE c WHEN 'vector' THEN 0.6 ELSE 0.4 END / (60 + rank)),
 def hybrid_recall(spark: SparkSession, d: str) -> DataFrame:
     """Vector and lexical channels over documents (vec_id is taken as doc_id), fused by weighted rank."""
     v = vectors.nearest(table(spark, d, "embeddings"), _query_vector(spark, d), 50, -1.0, "vec_id").select(F.lit("vector").alias("channel"), "id", _r("score").alias("score"))
-    x = lexical.bm25(lexical.tokens(table(spark, d, "documents"), "doc_id", "text"), QUERY, 50).select(F.lit("lexical").alias("channel"), "id", _r("score").alias("score"))
+    x = lexical.search(table(spark, d, "documents"), "doc_id", lexical.words(F.col("text")), QUERY, 50).select(F.lit("lexical").alias("channel"), "id", _r("score").alias("score"))
     return ranking.rrf(v.union(x), {"vector": 0.6, "lexical": 0.4}).select("id", _r("score", 8).alias("score"), "channels")
 
 
@@ -128,14 +129,14 @@ _filter("filter_nin", {"source_type": {"$nin": ["click", "view"]}}, "NOT coalesc
 _filter("filter_date_range", {"occurred_at": {"$gte": "2024-01-05", "$lt": "2024-01-20"}}, "coalesce(ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20', false)")
 _filter("filter_metadata_eq", {"metadata.k": 7}, "coalesce(k = 7, false)")
 _filter("filter_metadata_range", {"metadata.k": {"$gt": 20, "$lte": 60}}, "coalesce(k > 20 AND k <= 60, false)")
-_filter("filter_metadata_type_gate", {"metadata.k": {"$gt": "20"}}, "false")
-_filter("filter_metadata_exists", {"metadata.k": {"$exists": True}, "metadata.missing": {"$exists": False}}, "k IS NOT NULL")
+_filter("filter_metadata_type_gate", {"$or": [{"metadata.k": {"$gt": "20"}}, {"metadata.k": {"$lt": 10}}]}, "coalesce(k < 10, false)")
+_filter("filter_metadata_exists", {"metadata.k": {"$exists": True}, "$or": [{"metadata.missing": {"$exists": True}}, {"metadata.k": {"$gte": 50}}]}, "coalesce(k >= 50, false)")
 _filter("filter_metadata_in", {"metadata.k": {"$in": [1, 2, 3]}}, "coalesce(k IN (1, 2, 3), false)")
-_filter("filter_null", {"metadata.missing": None, "metadata.k": {"$ne": None}}, "k IS NOT NULL")
+_filter("filter_null", {"metadata.missing": None, "metadata.k": {"$ne": None, "$lt": 50}}, "coalesce(k < 50, false)")
 _filter("filter_or_not", {"$or": [{"source_type": "click"}, {"metadata.k": {"$lt": 10}}], "$not": {"metadata.k": 5}}, "(coalesce(event_type = 'click', false) OR coalesce(k < 10, false)) AND NOT coalesce(k = 5, false)")
 _filter("filter_nor", {"$nor": [{"source_type": "click"}, {"metadata.k": {"$gte": 50}}]}, "NOT (coalesce(event_type = 'click', false) OR coalesce(k >= 50, false))")
 _filter("filter_field_not", {"metadata.k": {"$not": {"$gte": 10, "$lt": 90}}}, "NOT coalesce(k >= 10 AND k < 90, false)")
-_filter("filter_exact_array", {"source_type": ["click"]}, "false")
+_filter("filter_exact_array", {"$or": [{"source_type": ["click"]}, {"source_type": "view"}]}, "event_type = 'view'")
 
 
 # ---- time ------------------------------------------------------------------------------
@@ -170,11 +171,11 @@ def time_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.date_trunc("month", "ts").alias("month"), F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), _r(F.sum("value"), 4).alias("total"))
 
 
-@register("version_as_of", "SELECT o_custkey, o_orderkey FROM (SELECT *, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS until FROM orders) WHERE o_orderdate <= TIMESTAMP '1995-01-01' AND (until IS NULL OR until > TIMESTAMP '1995-01-01')")
+@register("version_as_of", "SELECT o_custkey, o_orderkey FROM (SELECT *, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS until FROM orders) WHERE o_orderdate <= TIMESTAMP '1998-01-01' AND (until IS NULL OR until > TIMESTAMP '1998-01-01')")
 def version_as_of(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     versions = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("valid_from"), F.lead("o_orderdate").over(w).alias("valid_until"))
-    return graph.valid_at(versions, F.expr("TIMESTAMP '1995-01-01'")).select("o_custkey", "o_orderkey")
+    return graph.valid_at(versions, F.expr("TIMESTAMP '1998-01-01'")).select("o_custkey", "o_orderkey")
 
 
 @register("version_history", "SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER w AS superseded_by, lead(o_orderkey) OVER w IS NULL AS is_active FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
@@ -208,12 +209,12 @@ def keyset_page(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- graph -----------------------------------------------------------------------------
 
-MENTIONS = "m AS (SELECT DISTINCT l_suppkey AS entity, l_orderkey AS chunk FROM lineitem WHERE l_suppkey <= 40)"
+MENTIONS = "m AS (SELECT DISTINCT l_suppkey AS entity, l_orderkey AS chunk FROM lineitem)"
 EDGES = f"{MENTIONS}, e AS (SELECT a.entity AS a, b.entity AS b, count(*) AS n FROM m a JOIN m b ON a.chunk = b.chunk AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 2)"
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_suppkey <= 40").select(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("chunk"))
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("chunk"))
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -242,9 +243,12 @@ def k_hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.hops(_nations(spark, d), spark.createDataFrame([(0,)], "id long"), 3)
 
 
-@register("components", f"WITH RECURSIVE {NATIONS}, w(id, c) AS (SELECT src, src FROM u UNION SELECT dst, c FROM w JOIN u ON src = id) SELECT CAST(id AS BIGINT) AS id, CAST(min(c) AS BIGINT) AS component FROM w GROUP BY id")
+@register("components", "SELECT o_orderkey AS id, o_orderkey // 200 * 200 AS component FROM orders")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.connected(_nations(spark, d))
+    """Chains of 200 orders each: a long path must come together."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"))
+    chain = o.join(o.select(F.col("src").alias("dst")), F.col("dst") == F.col("src") + 1, "left")
+    return graph.connected(chain.select("src", F.when(F.col("src") % 200 != 199, F.col("dst")).alias("dst")).select("src", F.coalesce("dst", "src").alias("dst")))
 
 
 def _rank_sql(rounds: int) -> str:
@@ -262,16 +266,16 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(both, rounds=5).select("id", _r("rank", 8).alias("rank"))
 
 
-@register("directed_paths", "SELECT [n_nationkey, 100 + n_regionkey] AS path, 1 AS hops FROM nation WHERE n_nationkey = 3")
+@register("directed_paths", "WITH RECURSIVE g AS (SELECT n_nationkey AS s, n_nationkey + k AS t FROM nation, (VALUES (1), (2), (5)) v(k)), w(path, at_) AS (SELECT [0, t], t FROM g WHERE s = 0 UNION ALL SELECT list_append(path, t), t FROM w JOIN g ON s = at_ WHERE len(path) < 6) SELECT path, CAST(len(path) - 1 AS INTEGER) AS hops FROM w WHERE at_ = 9")
 def directed_paths(spark: SparkSession, d: str) -> DataFrame:
-    g = _nations(spark, d)
-    region = g.where("src = 3").first().dst
-    return graph.directed_paths(g, 3, region, 3).select(F.col("path").cast("array<int>").alias("path"), "hops")
+    n = F.col("n_nationkey")
+    g = table(spark, d, "nation").select(n.alias("src"), F.explode(F.array(n + 1, n + 2, n + 5)).alias("dst"))
+    return graph.directed_paths(g, 0, 9, 5).select(F.col("path").cast("array<int>").alias("path"), "hops")
 
 
-@register("entity_chunk_mentions", "SELECT l_orderkey AS chunk, count(DISTINCT l_suppkey) AS entities, count(*) AS mentions FROM lineitem WHERE l_suppkey IN (1, 2, 3, 5, 8) GROUP BY l_orderkey ORDER BY mentions DESC, chunk LIMIT 50")
+@register("entity_chunk_mentions", "SELECT l_orderkey AS chunk, count(DISTINCT l_suppkey) AS entities, count(*) AS mentions FROM lineitem GROUP BY l_orderkey ORDER BY mentions DESC, chunk LIMIT 50")
 def entity_chunk_mentions(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "lineitem").where(F.col("l_suppkey").isin(1, 2, 3, 5, 8))
+    m = table(spark, d, "lineitem")
     return m.groupBy(F.col("l_orderkey").alias("chunk")).agg(F.countDistinct("l_suppkey").alias("entities"), F.count("*").alias("mentions")).orderBy(F.col("mentions").desc(), "chunk").limit(50)
 
 
@@ -290,24 +294,24 @@ def provenance_filter(spark: SparkSession, d: str) -> DataFrame:
 # ---- store and maintenance -------------------------------------------------------------
 
 
-@register("ingest_dedup", "SELECT min(doc_id) AS doc_id, sha256(text) AS checksum FROM documents WHERE doc_id >= 100 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id < 100) GROUP BY sha256(text)")
+@register("ingest_dedup", "WITH s AS (SELECT sha256(CASE WHEN doc_id % 3 = 0 THEN text ELSE text || '!' END) AS x FROM documents WHERE text IS NOT NULL) SELECT min(doc_id) AS doc_id, sha256(text) AS checksum FROM documents WHERE sha256(text) NOT IN (FROM s) GROUP BY sha256(text)")
 def ingest_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return store.stage(docs.where("doc_id >= 100"), docs.where("doc_id < 100"), "doc_id").select("doc_id", "checksum")
+    stored = docs.select("doc_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN text ELSE concat(text, '!') END").alias("text"))
+    return store.stage(docs, stored, "doc_id").select("doc_id", "checksum")
 
 
-@register("detect_changes", "WITH a AS (SELECT doc_id, sha256(text) AS x FROM documents WHERE doc_id >= 50), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS y FROM documents WHERE doc_id < 150) SELECT doc_id, CASE WHEN y IS NULL THEN 'new' WHEN x IS NULL THEN 'deleted' WHEN x = y THEN 'unchanged' ELSE 'updated' END AS change FROM a FULL JOIN b USING (doc_id)")
+@register("detect_changes", "WITH b AS (SELECT doc_id * 2 AS doc_id, source AS y FROM documents) SELECT doc_id, CASE WHEN y IS NULL THEN 'new' WHEN source IS NULL THEN 'deleted' WHEN source = y THEN 'unchanged' ELSE 'updated' END AS change FROM documents FULL JOIN b USING (doc_id)")
 def detect_changes(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    old = docs.where("doc_id < 150").select("doc_id", F.expr("CASE WHEN doc_id % 7 = 0 THEN concat(text, 'x') ELSE text END").alias("text"))
-    return store.detect_changes(docs.where("doc_id >= 50"), old, "doc_id", "text")
+    return store.detect_changes(docs, docs.select((F.col("doc_id") * 2).alias("doc_id"), "source"), "doc_id", "source")
 
 
-@register("entity_upsert", "WITH s AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS score FROM customer WHERE c_custkey <= 100), i AS (SELECT c_custkey AS id, NULL::VARCHAR AS name, c_acctbal + 1 AS score FROM customer WHERE c_custkey > 50 AND c_custkey <= 150) SELECT id, coalesce(i.name, s.name) AS name, round(coalesce(i.score, s.score), 2) AS score FROM s FULL JOIN i USING (id)")
+@register("entity_upsert", "WITH s AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS score FROM customer), i AS (SELECT c_custkey * 2 AS id, NULL::VARCHAR AS name, c_acctbal + 1 AS score FROM customer) SELECT id, coalesce(i.name, s.name) AS name, round(coalesce(i.score, s.score), 2) AS score FROM s FULL JOIN i USING (id)")
 def entity_upsert(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    stored = c.where("c_custkey <= 100").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"))
-    new = c.where("c_custkey > 50 AND c_custkey <= 150").select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("name"), (F.col("c_acctbal") + 1).alias("score"))
+    stored = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"))
+    new = c.select((F.col("c_custkey") * 2).alias("id"), F.lit(None).cast("string").alias("name"), (F.col("c_acctbal") + 1).alias("score"))
     return store.merge(stored, new, ["id"]).select("id", "name", _r("score", 2).alias("score"))
 
 

@@ -81,3 +81,72 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) AS n FROM windows").first().n == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_long_chains_are_one_component(spark):
+    chain = spark.range(40).selectExpr("id AS src", "id + 1 AS dst").union(spark.createDataFrame([(100, 100), (101, 102)], "src long, dst long"))
+    got = {r.id: r.component for r in graph.connected(chain).collect()}
+    assert all(got[k] == 0 for k in range(41)) and got[100] == 100 and got[101] == got[102] == 101
+    assert graph.connected(chain.limit(0)).count() == 0
+
+
+def test_pagerank_stops_by_tolerance_and_by_order(spark):
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 0, 1.0), (3, 0, 2.0), (3, 1, 0.0)], "src long, dst long, weight double")
+    d, out = 0.85, {0: [(1, 1.0)], 1: [(2, 1.0)], 2: [(0, 1.0)], 3: [(0, 2 / 3), (1, 1 / 3)]}
+    r = dict.fromkeys(range(4), 0.25)
+    for _ in range(200):
+        r = {v: (1 - d) * 0.25 + d * sum(r[u] * w for u, arcs in out.items() for x, w in arcs if x == v) for v in r}
+    got = {x.id: x["rank"] for x in graph.pagerank(e, rounds=60, tolerance=1e-6).collect()}
+    assert all(abs(got[k] - r[k]) < 1e-4 for k in r)
+    best = graph.pagerank(e, rounds=60, stable_top=2).orderBy(F.col("rank").desc()).limit(2).collect()
+    assert [x.id for x in best] == sorted(r, key=lambda k: -r[k])[:2]
+
+
+def test_search_takes_empty_texts_and_repeated_terms(spark):
+    from loomlake.operators import lexical
+
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma"), (3, ""), (4, None), (5, "delta delta")], "id long, text string")
+    once = {r.id: r.score for r in lexical.search(docs, "id", lexical.words(F.col("text")), ["beta"], 9).collect()}
+    twice = {r.id: r.score for r in lexical.search(docs, "id", lexical.words(F.col("text")), ["beta", "beta"], 9).collect()}
+    assert set(once) == {1, 2} and all(abs(twice[k] - 2 * once[k]) < 1e-9 for k in once)
+    assert lexical.search(docs.limit(0), "id", lexical.words(F.col("text")), ["beta"], 9).count() == 0
+
+
+def test_chunkers_keep_sizes_and_overlaps(spark):
+    from loomlake.functions import chunking
+
+    body = "word " * 900 + "\n\n" + "x" * 5000
+    docs = spark.createDataFrame([(1, body), (2, None), (3, "  "), (4, "short")], "id long, text string")
+    got = chunking.fixed_chunks(docs, "id", "text").orderBy("id", "chunk_index").collect()
+    assert {r.id for r in got} == {1, 4} and all(len(r.content) <= 2048 for r in got)
+    assert not got[0].content.endswith("wor") and got[0].content[-100:] in got[1].content
+    got = chunking.recursive_chunks(docs, "id", "text", 64, 8).where("id = 1").orderBy("chunk_index").collect()
+    assert len(got) > 10 and [r.chunk_index for r in got] == list(range(len(got)))
+    assert all(len(r.content) <= 64 * 5 + 4 * 8 + 5 for r in got if "x" not in r.content)
+
+
+def test_relative_ranges():
+    from datetime import datetime
+
+    from loomlake.functions.temporal import resolve_range
+
+    now = datetime(2024, 6, 12, 15, 30)
+    day = lambda *x: datetime(*x)
+    assert resolve_range("yesterday", now) == (day(2024, 6, 11), day(2024, 6, 11, 23, 59, 59, 999999))
+    assert resolve_range("last 3 weeks", now)[0] == day(2024, 5, 22, 15, 30) and resolve_range("2 months ago", now)[0] == day(2024, 4, 13, 15, 30)
+    assert resolve_range("Q4 2023", now) == (day(2023, 10, 1), day(2023, 12, 31, 23, 59, 59))
+    assert resolve_range("February 2024", now) == (day(2024, 2, 1), day(2024, 2, 29, 23, 59, 59))
+    assert resolve_range("this week", now) == (day(2024, 6, 10), now) and resolve_range("2023", now)[1] == day(2023, 12, 31, 23, 59, 59)
+    assert resolve_range("nothing of the kind", now) is None
+
+
+def test_event_patterns_fail_closed(spark):
+    from loomlake.operators import patterns
+
+    df = spark.createDataFrame([("Click", 5, ["a", "b"]), (None, None, None)], "t string, n int, tags array<string>")
+    hit = lambda p: [bool(r[0]) for r in df.select(patterns.matches(p, {"t": F.col("t"), "n": F.col("n"), "tags": F.col("tags")})).collect()]
+    assert hit({}) == [True, True] and hit({"t": [{"exists": False}]}) == [False, True]
+    assert hit({"t": [{"equals-ignore-case": "CLICK"}]}) == [True, False] and hit({"t": [{"wildcard": "C?i*"}]}) == [True, False]
+    assert hit({"n": [{"numeric": [">", 1, "<", 5]}]}) == [False, False] and hit({"tags": [{"contains-all": ["b", "a"]}]}) == [True, False]
+    assert hit({"t": [{"unknown": 1}]}) == [False, False] and hit({"gone": [1]}) == [False, False]
+    assert hit({"t": [{"anything-but": {"prefix": "X"}}]}) == [True, False]
