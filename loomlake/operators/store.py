@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def checksum(text: Column) -> Column:
     return F.sha2(text, 256)
@@ -38,11 +40,18 @@ def merge(stored: DataFrame, incoming: DataFrame, by: list[str]) -> DataFrame:
 
 
 def forget(rows: DataFrame, sources: str, gone: DataFrame) -> DataFrame:
-    """Strips the ids of `gone` (id) from an array column; rows left without sources go."""
-    flat = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_s", F.explode(sources))
-    kept = flat.join(F.broadcast(gone.select(F.col("id").alias("_s"))), "_s", "left_anti") if gone.isStreaming else flat.join(gone.select(F.col("id").alias("_s")), "_s", "left_anti")
-    others = [c for c in rows.columns if c != sources]
-    return kept.groupBy("_row", *others).agg(F.sort_array(F.collect_list("_s")).alias(sources)).drop("_row")
+    """Strips the ids of `gone` (id) from an array column; rows that lose their last source go.
+
+    Rows whose array was null or empty before stay as they are; other columns, of any type,
+    travel along. Only rows that name one of the ids are taken apart.
+    """
+    ids = gone.select(F.col("id").alias("_s")).distinct()
+    # numbered once and kept: both uses must see the same numbers
+    keyed = cut(rows.select(F.struct("*").alias("_row"), F.col(sources).alias("_all"), F.monotonically_increasing_id().alias("_k")))
+    hit = keyed.select("_k", F.explode("_all").alias("_s")).join(ids, "_s", "left_semi").groupBy("_k").agg(F.collect_set("_s").alias("_gone"))
+    left = F.when(F.col("_gone").isNull(), F.col("_all")).otherwise(F.sort_array(F.filter("_all", lambda x: ~F.array_contains("_gone", x))))
+    out = keyed.join(hit, "_k", "left").withColumn("_left", left).where(F.col("_gone").isNull() | (F.size("_left") > 0))
+    return out.select(*(F.col("_left").alias(c) if c == sources else F.col(f"_row.`{c}`") for c in rows.columns))
 
 
 def page(rows: DataFrame, created: str, id: str, limit: int, after: tuple | None = None) -> DataFrame:

@@ -317,7 +317,7 @@ def entity_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 @register("forget_cascade", "SELECT l_orderkey AS id, list_sort(list(l_linenumber)) AS sources FROM lineitem WHERE l_linenumber NOT IN (1, 2) GROUP BY l_orderkey")
 def forget_cascade(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_linenumber").alias("sources"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("sources"))
     return store.forget(rows, "sources", spark.range(1, 3).toDF("id")).select("id", "sources")
 
 

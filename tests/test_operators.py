@@ -150,3 +150,27 @@ def test_event_patterns_fail_closed(spark):
     assert hit({"n": [{"numeric": [">", 1, "<", 5]}]}) == [False, False] and hit({"tags": [{"contains-all": ["b", "a"]}]}) == [True, False]
     assert hit({"t": [{"unknown": 1}]}) == [False, False] and hit({"gone": [1]}) == [False, False]
     assert hit({"t": [{"anything-but": {"prefix": "X"}}]}) == [True, False]
+
+
+def test_office_files(spark, tmp_path):
+    import zipfile
+
+    from loomlake.sources.readers import binary
+
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:d xmlns:w="u"><w:p><w:r><w:t>one &amp; two</w:t></w:r></w:p><w:p><w:t>three</w:t></w:p></w:d>')
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<w xmlns:r="q"><sheets><sheet name="Second" r:id="r2"/><sheet name="First" r:id="r1"/></sheets></w>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><x Id="r1" Target="worksheets/sheet1.xml"/><x Id="r2" Target="/xl/worksheets/sheet2.xml"/></R>')
+        z.writestr("xl/sharedStrings.xml", "<s><si><t>name</t></si></s>")
+        z.writestr("xl/worksheets/sheet1.xml", '<w><row><c t="s"><v>0</v></c><c><v>4.5</v></c></row></w>')
+        z.writestr("xl/worksheets/sheet2.xml", '<w><row><c t="inlineStr"><is><t>in line</t></is></c></row></w>')
+    (tmp_path / "c.xls").write_bytes(b"legacy")
+    got = {r.path.rpartition("/")[2]: r.text for r in binary(spark, str(tmp_path)).collect()}
+    assert got == {"a.docx": "one & two\nthree", "b.xlsx": "Second\nin line\nFirst\nname\t4.5", "c.xls": ""}
+
+
+def test_forget_keeps_rows_without_sources(spark):
+    rows = spark.createDataFrame([(1, [1, 2], {"a": 1}), (2, [1], None), (3, [], {"b": 2}), (4, None, None)], "id int, sources array<int>, m map<string,int>")
+    got = {r.id: (r.sources, r.m) for r in store.forget(rows, "sources", spark.createDataFrame([(1,)], "id int")).collect()}
+    assert got == {1: ([2], {"a": 1}), 3: ([], {"b": 2}), 4: (None, None)}
