@@ -39,3 +39,23 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+def blocks_apart(placed: DataFrame, most_rows: int, most_size: int) -> DataFrame:
+    """(key, i, j, side, k, root) of buckets (key, k, root, n) whose members lie in several components so far.
+
+    Members outside a bucket's largest component, dealt into blocks i, meet all members,
+    dealt into blocks j: those of the largest component are never held against each
+    other. A member is copied once for each block of the other side that it meets: side 0
+    is the left one, 1 the right one, 2 both. A block has about `most_rows` rows and a sum
+    of n of about `most_size` at most.
+    """
+    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    whole = by_root.groupBy("key").agg(F.max(F.struct("c", "s", "root")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("roots")).where(F.col("roots") > 1)
+    blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / most_rows), F.ceil(s / most_size)).cast("int")
+    apart = whole.select("key", F.col("top.root").alias("main"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("of_i"), blocks(F.col("c"), F.col("s")).alias("of_j"))
+    rest = placed.join(apart, "key").withColumn("i0", F.pmod(F.xxhash64("k"), "of_i").cast("int")).withColumn("j0", F.pmod(F.xxhash64(F.lit(1), "k"), "of_j").cast("int"))
+    left = rest.where(F.col("root") != F.col("main")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of_j") - 1)))
+    left = left.select("key", F.col("i0").alias("i"), "j", F.when(F.col("j") == F.col("j0"), 2).otherwise(0).alias("side"), "k", "root")
+    right = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("of_i") - 1))).where((F.col("root") == F.col("main")) | (F.col("i") != F.col("i0")))
+    return left.union(right.select("key", "i", F.col("j0").alias("j"), F.lit(1).alias("side"), "k", "root"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .components import components
+from .components import blocks_apart, components
 
 SHINGLE, SIMILARITY = 8, 0.8
 #: A pair of similarity 0.8 shares none of 9 bands of 3 minima about once in 640, of 0.9 once in 140,000.
@@ -95,9 +95,12 @@ def _links(lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose whole sets are similar. Bodies stay where their buckets are until a pair asks for them."""
 
     def body(side: str) -> DataFrame:
-        return lines.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.encode("body", "UTF-16BE").alias(f"raw_{side}"), shingle_count(F.col("body")).alias(f"n_{side}"))
+        return lines.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.col("body").alias(f"body_{side}"))
 
-    sets = pairs.join(body("a"), ["a1", "a2"]).join(body("b"), ["b1", "b2"]).select("a", "b", shingle_set(F.col("raw_a"), F.col("n_a")).alias("x"), shingle_set(F.col("raw_b"), F.col("n_b")).alias("y"))
+    # bodies are shuffled in UTF-8, half as long, and encoded where they are taken apart
+    met = pairs.join(body("a"), ["a1", "a2"]).join(body("b"), ["b1", "b2"])
+    wide = met.select("a", "b", *(x for s in "ab" for x in (F.encode(f"body_{s}", "UTF-16BE").alias(f"raw_{s}"), shingle_count(F.col(f"body_{s}")).alias(f"n_{s}"))))
+    sets = wide.select("a", "b", shingle_set(F.col("raw_a"), F.col("n_a")).alias("x"), shingle_set(F.col("raw_b"), F.col("n_b")).alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     return sets.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
 
@@ -105,25 +108,22 @@ def _links(lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
 def _within(ws: Workspace, lines: DataFrame, members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between members (key, k) of a bucket that lie in different components (node, root) so far.
 
-    Buckets of three have no pair left that wasn't a candidate. Others are cut into blocks,
-    each of which meets each; whole sets are made within the blocks, and of the links of
-    a line to a component one returns.
+    Members outside a bucket's largest component meet all members, in blocks; whole sets are
+    made within the blocks, and of the links of a line to a component one returns.
     """
     placed = members.join(roots.withColumnRenamed("node", "k"), "k", "left").select("key", "k", F.coalesce("root", "k").alias("root"))
-    placed = placed.join(lines.select("k", "h1", "h2", shingle_count(F.col("body")).alias("n")), "k")
-    apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.sum("n").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    apart = apart.where((F.col("x") != F.col("y")) & (F.col("c") > 3)).select("key", blocks.alias("blocks"))
-    rest = ws.cut(placed.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")), "apart")
-    rest = rest.join(lines.select("h1", "h2", F.encode("body", "UTF-16BE").alias("raw")), ["h1", "h2"])
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "root", "raw", "n").repartition("key", "i", "j")
-    side = lambda x, s: rest.select("key", "i", "j", F.col("own").alias(f"own_{x}"), F.col("k").alias(x), F.col("root").alias(f"root_{x}"), shingle_set(F.col("raw"), F.col("n")).alias(s))
-    # blocks i and j meet crosswise; a block meets itself at i = j
-    meet = (F.col("own_a") == F.col("i")) & (F.col("own_b") == F.col("j")) & (F.col("root_a") != F.col("root_b")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b")))
+    placed = placed.join(lines.select("k", shingle_count(F.col("body")).alias("n")), "k")
+    rest = ws.cut(blocks_apart(placed, BLOCK_ROWS, BLOCK_SHINGLES).join(lines.select("k", "h1", "h2"), "k"), "apart")
+    rest = rest.join(lines.select("h1", "h2", "body"), ["h1", "h2"]).select("key", "i", "j", "side", "k", "root", "body").repartition("key", "i", "j")
+    rest = rest.select("key", "i", "j", "side", "k", "root", F.encode("body", "UTF-16BE").alias("raw"), shingle_count(F.col("body")).alias("n"))
+
+    def side(x: str, s: str, other: int) -> DataFrame:
+        own = rest.where(F.col("side") != other)
+        return own.select("key", "i", "j", F.col("k").alias(x), F.col("root").alias(f"root_{x}"), shingle_set(F.col("raw"), F.col("n")).alias(s))
+
     least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     same = F.size(F.array_intersect("x", "y"))
-    met = side("a", "x").hint("merge").join(side("b", "y"), ["key", "i", "j"]).where(meet & (least >= similarity * most) & (same >= similarity * (F.size("x") + F.size("y") - same)))
+    met = side("a", "x", 1).hint("merge").join(side("b", "y", 0), ["key", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & (least >= similarity * most) & (same >= similarity * (F.size("x") + F.size("y") - same)))
     return met.groupBy("b", "root_a").agg(F.min("a").alias("a")).select("a", "b")
 
 

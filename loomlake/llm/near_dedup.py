@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import Workspace, byte_table, mix64, parts, table, text_bytes
-from .components import components
+from .components import blocks_apart, components
 
 WORDS, PERCENT = 4, 80
 #: A link of similarity 0.8 shares none of 30 bands of 6 registers once in 9,000 times, and others less often.
@@ -203,24 +203,6 @@ def _within(percent: int):
     return within
 
 
-def _blocks_apart(placed: DataFrame) -> DataFrame:
-    """(key, i, j, side, k, root) of buckets (key, k, root, n) whose members lie in several components so far.
-
-    Members outside a bucket's largest component, dealt into blocks i, meet all members,
-    dealt into blocks j: those of the largest component are never held against each
-    other. A member is copied once for each block of the other side that it meets.
-    """
-    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    whole = by_root.groupBy("key").agg(F.max(F.struct("c", "s", "root")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("roots")).where(F.col("roots") > 1)
-    blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
-    apart = whole.select("key", F.col("top.root").alias("main"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("of_i"), blocks(F.col("c"), F.col("s")).alias("of_j"))
-    rest = placed.join(apart, "key").withColumn("i0", F.pmod(F.xxhash64("k"), "of_i").cast("int")).withColumn("j0", F.pmod(F.xxhash64(F.lit(1), "k"), "of_j").cast("int"))
-    left = rest.where(F.col("root") != F.col("main")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of_j") - 1)))
-    left = left.select("key", F.col("i0").alias("i"), "j", F.when(F.col("j") == F.col("j0"), 2).otherwise(0).alias("side"), "k", "root")
-    right = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("of_i") - 1))).where((F.col("root") == F.col("main")) | (F.col("i") != F.col("i0")))
-    return left.union(right.select("key", "i", F.col("j0").alias("j"), F.lit(1).alias("side"), "k", "root"))
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row.
 
@@ -296,7 +278,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     placed = buckets.join(roots.withColumnRenamed("node", "k"), "k", "left").select("key", "k", F.coalesce("root", "k").alias("root"))
     placed = placed.join(classes.select("k", "n"), "k")
-    more = ws.cut(_blocks_apart(placed).join(sets, "k").groupBy("key", "i", "j").applyInArrow(_within(percent), "a long, b long"), "more")
+    more = ws.cut(blocks_apart(placed, BLOCK_ROWS, BLOCK_SHINGLES).join(sets, "k").groupBy("key", "i", "j").applyInArrow(_within(percent), "a long, b long"), "more")
     final = components(ws, links.union(more), "last")
 
     ids = classes.select("fp", "k", "id").join(final.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
