@@ -6,6 +6,8 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -82,24 +84,50 @@ class Workspace:
 _held: dict = {}
 
 
+#: Seconds after which a Python worker without work lets go of what it keeps.
+IDLE = 3.0
+_used = [0.0]
+
+
 def hold(name: str, key, make):
-    """What a Python worker keeps from task to task: one thing at a time.
+    """What a Python worker keeps from task to task: one thing at a time, and only while it is in use.
 
     Workers are shared by all operators of a session, so what one has built must not stay
-    while another works.
+    while another works, or while executors work without Python.
     """
     if (name, key) not in _held:
         let_go()
         _held[name, key] = make()
+        threading.Thread(target=_watch, daemon=True).start()
+    touch()
     return _held[name, key]
 
 
+def touch() -> None:
+    """Says that what is held is in use."""
+    _used[0] = time.monotonic()
+
+
+def _watch() -> None:
+    while _held:
+        time.sleep(1)
+        if time.monotonic() - _used[0] > IDLE:
+            let_go()
+
+
 def let_go() -> None:
-    """Drops what the worker keeps and gives its memory back to the system; others call it when they begin."""
-    if not _held:
-        return
-    _held.clear()
+    """Drops what the worker keeps; other operators call it when they begin."""
+    if _held:
+        _held.clear()
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system: Arrow's pool and the C library's keep it otherwise."""
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library: it returns memory in its own time
@@ -120,6 +148,7 @@ def parts(batches: Iterator, rows: int = 256, size: int = 4 << 20, text: str = "
                 b = min(b, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right"))))
             yield batch.slice(a, b - a)
             a = b
+    trim()
 
 
 def held_out(doc_id: Column) -> Column:

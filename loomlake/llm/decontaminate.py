@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import Workspace, byte_table, let_go, table, text_bytes
+from .common import Workspace, byte_table, let_go, table, text_bytes, trim
 
 WINDOW = 10
 #: Bytes of item texts in one automaton: some 35 MB of a task's memory, 120 MB of the driver's while it is built.
@@ -198,24 +198,33 @@ def benchmark_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, tex
     own) goes to each task; beyond that bound more automata follow, CHAIN in a pass, each
     adding to the spans so far. Docs aren't shuffled.
     """
+    return _read_items(docs, items, window, text, item_id, item_text, block_bytes, None)
+
+
+def _read_items(docs: DataFrame, items: DataFrame, window: int, text: str, item_id: str, item_text: str, block_bytes: int, finish) -> DataFrame:
+    """As benchmark_spans; with `finish`, a (schema, function) pair, the last automaton's pass returns what that makes of each part."""
     spark = docs.sparkSession
     ship(spark)
     keep = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "spans", "items")]
     out = docs.select(*(F.col(f"`{c}`") for c in keep))
     added = T.DataType.fromDDL("n_words long, n_hit long, spans array<struct<start: int, end: int>>, items array<string>")
     first, ws = True, None
-    for number, block in enumerate(_blocks(items, item_id, item_text, block_bytes)):
+    blocks = _blocks(items, item_id, item_text, block_bytes)
+    block, number = next(blocks), 0
+    while block is not None:
+        following = next(blocks, None)
         if number and number % CHAIN == 0:
             ws = ws or Workspace(spark, "spans")
             out = ws.cut(out, str(number))
         shared = spark.sparkContext.broadcast(ItemMatcher(block, window))
         schema = T.StructType(list(out.schema.fields) + (list(added.fields) if first else []))
-        out = out.mapInArrow(_reader(shared, text, first, schema), schema)
-        first = False
+        last = finish if following is None else None
+        out = out.mapInArrow(_reader(shared, text, first, schema, last and last[1]), last[0] if last else schema)
+        first, block, number = False, following, number + 1
     return out
 
 
-def _reader(shared, text: str, first: bool, schema: T.StructType):
+def _reader(shared, text: str, first: bool, schema: T.StructType, finish=None):
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -237,11 +246,16 @@ def _reader(shared, text: str, first: bool, schema: T.StructType):
                         hit = sum(b - a for a, b in own)
                     n_words.append(len(words))
                     n_hit.append(hit)
-                    spans.append([{"start": a, "end": b} for a, b in own])
+                    spans.append(own)
                     items.append(sorted(names))
+                if finish:
+                    yield finish(part, n_words, n_hit, spans)
+                    continue
+                spans = [[{"start": a, "end": b} for a, b in own] for own in spans]
                 old = [part.column(f.name) for f in target][: len(target) - 4] if not first else list(part.columns)
                 new = [pa.array(v, target.field(n).type) for n, v in (("n_words", n_words), ("n_hit", n_hit), ("spans", spans), ("items", items))]
                 yield pa.RecordBatch.from_arrays(old + new, names=target.names)
+        trim()
 
     return read
 
@@ -264,34 +278,31 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
     """
     # whole rows travel as one column, so that no name of theirs can meet another
     rows = docs.select(F.col("text"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
-    out = benchmark_spans(rows, items, window)
-    schema = T.StructType([out.schema["row"], T.StructField("left", T.StringType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("left", T.StringType())])
 
-    def cut(batches: Iterator) -> Iterator:
+    def cut(part, n_words: list[int], n_hit: list[int], spans: list[list[tuple[int, int]]]):
         import re
 
         import pyarrow as pa
 
-        word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-        for batch in batches:
-            spans, texts = batch.column("spans").to_pylist(), batch.column("text")
-            new = []
-            for k, own in enumerate(spans):
-                if not own:
-                    new.append(texts[k].as_py())
-                    continue
-                raw = texts[k].as_py().encode()
-                at = [m.span() for m in word.finditer(raw)]
-                left, done = [], 0
-                for s in own:
-                    left.append(raw[done : at[s["start"]][0]])
-                    done = at[s["end"] - 1][1]
-                left.append(raw[done:])
-                new.append(b"".join(left).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], names=["row", "left"])
-
-    kept = out.where((F.col("n_hit") == 0) | (F.col("n_hit") <= coverage * F.col("n_words"))).select("text", "row", "spans")
-    return kept.mapInArrow(cut, schema).select(*(F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+        word, texts, new = re.compile(rb"[0-9A-Za-z\x80-\xff]+"), part.column("text"), []
+        kept = [k for k, (n, h) in enumerate(zip(n_words, n_hit, strict=True)) if h == 0 or h <= coverage * n]
+        for k in kept:
+            if not spans[k]:
+                new.append(texts[k].as_py())
+                continue
+            raw = texts[k].as_py().encode()
+            at = [m.span() for m in word.finditer(raw)]
+            left, done = [], 0
+            for a, b in spans[k]:
+                left.append(raw[done : at[a][0]])
+                done = at[b - 1][1]
+            left.append(raw[done:])
+            new.append(b"".join(left).decode())
+        return pa.RecordBatch.from_arrays([part.column("row").take(pa.array(kept, pa.int64())), pa.array(new, pa.string())], names=["row", "left"])
+
+    out = _read_items(rows, items, window, "text", "item_id", "text", BLOCK_BYTES, (schema, cut))
+    return out.select(*(F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

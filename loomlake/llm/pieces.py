@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import hold, table
+from .common import hold, table, touch, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
 #: Words kept with their segmentation, in each of two generations of a Python worker; longer ones aren't kept.
-#: A word and what is kept of it take under 800 bytes, mostly under 400: some 60 MB.
-CACHE, CACHE_CHARS = 80_000, 64
+#: A word and what is kept of it take under 800 bytes, mostly under 400: some 45 MB.
+CACHE, CACHE_CHARS = 60_000, 64
 
 
 def load_pieces(path: str) -> list[tuple[str, float, str]]:
@@ -355,7 +355,7 @@ def _mapper(docs: DataFrame, pieces: list, n_best: int, text: str, schema: T.Str
             start = 0
             while start < batch.num_rows:
                 bodies, size = [], 0
-                while start + len(bodies) < batch.num_rows and size < 1 << 20:
+                while start + len(bodies) < batch.num_rows and size < 1 << 19:
                     bodies.append(batch.column(text)[start + len(bodies)].as_py() or "")
                     size += len(bodies[-1])
                 part = batch.slice(start, len(bodies))
@@ -366,6 +366,8 @@ def _mapper(docs: DataFrame, pieces: list, n_best: int, text: str, schema: T.Str
                 held = list(part.columns)[:old]
                 new = [pa.array(list(v), f.type) for v, f in zip(zip(*rows, strict=True), list(target)[len(held) :], strict=True)]
                 yield pa.RecordBatch.from_arrays(held + new, names=target.names)
+                touch()
+        trim()
 
     return encode
 
