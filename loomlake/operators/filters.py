@@ -57,7 +57,7 @@ def parse(document: dict, depth: int = 0) -> Group | Leaf:
         if key in ("$and", "$or", "$nor"):
             if not isinstance(value, list):
                 raise FieldError(key, "type", "a list is needed")
-            inner = Group("and" if key == "$and" else "or", tuple(parse(x, depth + 1) for x in value))
+            inner = normalize(Group("and" if key == "$and" else "or", tuple(parse(x, depth + 1) for x in value)))
             parts.append(Group("not", (inner,)) if key == "$nor" else inner)
         elif key == "$not":
             parts.append(Group("not", (parse(value, depth + 1),)))
@@ -95,6 +95,43 @@ def normalize(node: Group | Leaf) -> Group | Leaf:
     return flat[0] if len(flat) == 1 else Group(node.op, tuple(flat))
 
 
+def leaves(node: Group | Leaf) -> list[Leaf]:
+    """All conditions of a filter, in order."""
+    return [node] if isinstance(node, Leaf) else [x for c in node.children for x in leaves(c)]
+
+
+def split(node: Group | Leaf, pushable: frozenset[str] | set[str]) -> tuple[Group | Leaf, Group | Leaf]:
+    """(pushed, rest), whose conjunction is the filter: what a store that knows the `pushable` keys can take, and what is left.
+
+    A conjunction is split part by part; a disjunction or negation goes as a whole or not at all.
+    """
+    every = Group("and", ())
+    if isinstance(node, Group) and node.op == "and":
+        both = [split(c, pushable) for c in node.children]
+        return tuple(normalize(Group("and", tuple(p for p in side if p != every))) for side in zip(*both, strict=True)) if both else (every, every)
+    known = all(".".join(x.path) in pushable or x.path[0] in pushable for x in leaves(node))
+    return (node, every) if known else (every, node)
+
+
+def report(node: Group | Leaf, pushable: frozenset[str] | set[str]) -> dict[str, list[str]]:
+    """The keys that are pushed down, and those that are held against the rows afterwards."""
+    pushed, rest = split(node, pushable)
+    names = lambda x: sorted({".".join(y.path) for y in leaves(x)})
+    return {"pushed_keys": names(pushed), "post_filtered_keys": names(rest)}
+
+
+def date_bounds(node: Group | Leaf, key: str = "source_timestamp") -> tuple[Any, Any]:
+    """(lower, upper) that the top-level conjunction sets for a date key: the greatest lower and the least upper one, or None.
+
+    Bounds are a superset: whether they are strict is left to the filter itself.
+    """
+    top = node.children if isinstance(node, Group) and node.op == "and" else (node,)
+    own = [(x.op, _moment(x.value)) for x in top if isinstance(x, Leaf) and x.path == (key,) and x.value is not None and x.op in ("$eq", *RANGES)]
+    low = [t for op, t in own if op in ("$gt", "$gte", "$eq")]
+    high = [t for op, t in own if op in ("$lt", "$lte", "$eq")]
+    return max(low, default=None), min(high, default=None)
+
+
 def canonical_hash(node: Group | Leaf) -> str:
     """SHA-256 of canonical JSON; the order of children of and / or doesn't count, that of lists does."""
 
@@ -127,13 +164,17 @@ def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def _date(x: Any) -> Column:
+def _moment(x: Any) -> datetime:
+    """A date in a filter as a time in UTC; one without a zone is UTC."""
     if isinstance(x, dict):
         x = x.get("$date")
     if isinstance(x, str):
         x = datetime.fromisoformat(x.replace("Z", "+00:00"))
-    x = x.replace(tzinfo=UTC) if x.tzinfo is None else x.astimezone(UTC)
-    return F.to_timestamp(F.lit(x.strftime("%Y-%m-%dT%H:%M:%S.%fZ")))
+    return x.replace(tzinfo=UTC) if x.tzinfo is None else x.astimezone(UTC)
+
+
+def _date(x: Any) -> Column:
+    return F.to_timestamp(F.lit(_moment(x).strftime("%Y-%m-%dT%H:%M:%S.%fZ")))
 
 
 def _system(leaf: Leaf, c: Column) -> Column:

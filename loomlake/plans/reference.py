@@ -52,6 +52,26 @@ def block_cosine_join(spark: SparkSession, d: str) -> DataFrame:
     return vectors.block_pairs(e, vectors.sign_keys(F.col("embedding"), 8, 8), "vec_id", 0.3).select("a", "b", _r("score").alias("score"))
 
 
+@register("knn_entities", f"SELECT id, score FROM (SELECT e.vec_id AS id, round({COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 7 AND e.label < 5) WHERE score >= 0.2 ORDER BY score DESC, id LIMIT 15")
+def knn_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The best of those above the floor, within a scope."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id = 7").first().embedding
+    return vectors.nearest(e.where("label < 5"), q, 15, 0.2, "vec_id").select("id", _r("score").alias("score"))
+
+
+RECENT = "r AS (SELECT vec_id, ts FROM embeddings JOIN events ON event_id = vec_id ORDER BY ts DESC, vec_id LIMIT 200)"
+
+
+@register("recency_channel", f"WITH {RECENT} SELECT e.vec_id AS id, round({COS}, 6) AS score FROM r JOIN embeddings e USING (vec_id), embeddings q WHERE q.vec_id = 0 AND {COS} >= 0.1")
+def recency_channel(spark: SparkSession, d: str) -> DataFrame:
+    """The most recent rows, then those of them that are near enough."""
+    e, q = table(spark, d, "embeddings"), _query_vector(spark, d)
+    recent = e.join(table(spark, d, "events").select(F.col("event_id").alias("vec_id"), "ts"), "vec_id").orderBy(F.col("ts").desc(), "vec_id").limit(200)
+    asked = F.array(*[F.lit(float(x)) for x in q])
+    return recent.select(F.col("vec_id").alias("id"), vectors.cosine(F.col("embedding"), asked).alias("score")).where("score >= 0.1").withColumn("score", _r("score"))
+
+
 @register("label_centroids", "WITH f AS (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, dim, avg(CAST(x AS DOUBLE)) AS v FROM f GROUP BY ALL) SELECT label, CAST(dim AS INTEGER) AS dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS value FROM m")
 def label_centroids(spark: SparkSession, d: str) -> DataFrame:
     return vectors.centroids(table(spark, d, "embeddings"), "label").select("label", "dim", _r("value").alias("value"))
@@ -138,6 +158,20 @@ _filter("filter_nor", {"$nor": [{"source_type": "click"}, {"metadata.k": {"$gte"
 _filter("filter_field_not", {"metadata.k": {"$not": {"$gte": 10, "$lt": 90}}}, "NOT coalesce(k >= 10 AND k < 90, false)")
 _filter("filter_exact_array", {"$or": [{"source_type": ["click"]}, {"source_type": "view"}]}, "event_type = 'view'")
 
+_filter("filter_blob", {"metadata": {"k": 7}}, "coalesce(k = 7, false)")
+_filter("filter_nested_groups", {"$or": [{"$or": [{"source_type": "click"}, {"$and": [{"metadata.k": {"$lt": 10}}]}]}, {"$nor": [{"metadata.k": {"$lt": 90}}]}]}, "coalesce(event_type = 'click' OR k < 10, false) OR NOT coalesce(k < 90, false)")
+
+
+@register("filter_pushdown", "SELECT event_id FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' AND event_type <> 'view' AND (k < 30 OR event_type = 'click')")
+def filter_pushdown(spark: SparkSession, d: str) -> DataFrame:
+    """Date bounds and the part of a filter on stored columns reach the scan, the rest is held against what it returns."""
+    node = filters.parse({"occurred_at": {"$gte": "2024-01-05", "$lt": "2024-01-25"}, "source_type": {"$ne": "view"}, "$or": [{"metadata.k": {"$lt": 30}}, {"source_type": "click"}]})
+    columns = {"occurred_at": F.col("ts"), "source_type": F.col("event_type")}
+    low, high = filters.date_bounds(node, "occurred_at")
+    pushed, rest = filters.split(node, {"occurred_at", "source_type"})
+    rows = table(spark, d, "events").where((F.col("ts") >= F.lit(low.replace(tzinfo=None)).cast("timestamp_ntz")) & (F.col("ts") <= F.lit(high.replace(tzinfo=None)).cast("timestamp_ntz")))
+    return rows.where(filters.compile_filter(pushed, columns, F.col("props"))).where(filters.compile_filter(rest, columns, F.col("props"))).select("event_id")
+
 
 # ---- time ------------------------------------------------------------------------------
 
@@ -266,6 +300,18 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(both, rounds=5).select("id", _r("rank", 8).alias("rank"))
 
 
+def _personal_sql(rounds: int) -> str:
+    base = _rank_sql(rounds)
+    return base.replace("p AS (SELECT DISTINCT src AS id, 1.0 / (SELECT count(DISTINCT src) FROM x) AS p FROM x)", "p AS (SELECT id, CASE WHEN id < 5 THEN (id + 1) / (SELECT sum(id + 1) FROM (SELECT DISTINCT src AS id FROM x) WHERE id < 5) ELSE 0 END AS p FROM (SELECT DISTINCT src AS id FROM x))")
+
+
+@register("personalised_pagerank", _personal_sql(4))
+def personalised_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d)
+    seeds = table(spark, d, "supplier").where("s_suppkey < 5").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") + 1.0).alias("score"))
+    return graph.pagerank(e.union(e.select("dst", "src", "weight")), rounds=4, seeds=seeds).select("id", _r("rank", 8).alias("rank"))
+
+
 @register("directed_paths", "WITH RECURSIVE g AS (SELECT n_nationkey AS s, n_nationkey + k AS t FROM nation, (VALUES (1), (2), (5)) v(k)), w(path, at_) AS (SELECT [0, t], t FROM g WHERE s = 0 UNION ALL SELECT list_append(path, t), t FROM w JOIN g ON s = at_ WHERE len(path) < 6) SELECT path, CAST(len(path) - 1 AS INTEGER) AS hops FROM w WHERE at_ = 9")
 def directed_paths(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_nationkey")

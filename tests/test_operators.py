@@ -174,3 +174,14 @@ def test_forget_keeps_rows_without_sources(spark):
     rows = spark.createDataFrame([(1, [1, 2], {"a": 1}), (2, [1], None), (3, [], {"b": 2}), (4, None, None)], "id int, sources array<int>, m map<string,int>")
     got = {r.id: (r.sources, r.m) for r in store.forget(rows, "sources", spark.createDataFrame([(1,)], "id int")).collect()}
     assert got == {1: ([2], {"a": 1}), 3: ([], {"b": 2}), 4: (None, None)}
+
+
+def test_filter_split_and_bounds():
+    node = filters.parse({"occurred_at": {"$gte": "2024-01-05", "$lt": "2024-02-01"}, "source": "a", "$or": [{"title": "x"}, {"metadata.k": 1}]})
+    pushed, rest = filters.split(node, {"occurred_at", "source", "title"})
+    assert {x.path[0] for x in filters.leaves(pushed)} == {"occurred_at", "source"} and {x.path[0] for x in filters.leaves(rest)} == {"title", "metadata"}
+    low, high = filters.date_bounds(node, "occurred_at")
+    assert (low.month, high.month) == (1, 2) and filters.date_bounds(node, "created_at") == (None, None)
+    assert filters.report(node, {"source"}) == {"pushed_keys": ["source"], "post_filtered_keys": ["metadata.k", "occurred_at", "title"]}
+    assert filters.split(filters.parse({}), {"source"}) == (filters.Group("and", ()), filters.Group("and", ()))
+    assert filters.parse({"$or": [{"$or": [{"source": "a"}, {"source": "b"}]}, {"source": "c"}]}) == filters.parse({"$or": [{"source": "a"}, {"source": "b"}, {"source": "c"}]})
