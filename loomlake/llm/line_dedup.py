@@ -218,3 +218,23 @@ def dedup_lines(docs: DataFrame, text: str = "text", similarity: float = SIMILAR
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return marked.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_gone"), F.col("gone").alias("gone_lines"))
+
+
+#: All pairs that share a run of 8 characters: for small tables.
+ORACLE = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, line, lower(trim(x, ' ')) AS b
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents) WHERE trim(x, ' ') <> ''
+), d AS (SELECT b, row_number() OVER (ORDER BY b) AS k, min(struct_pack(d := doc_id, l := line)) AS f FROM l GROUP BY b),
+s AS (SELECT DISTINCT k, substr(b, p, 8) AS g FROM (SELECT k, b, unnest(range(1, greatest(2, length(b) - 6))) AS p FROM d)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.k < b.k GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n AS x ON x.k = a JOIN n AS y ON y.k = b WHERE c >= 0.8 * (x.n + y.n - c)),
+u AS (FROM e UNION SELECT b, a FROM e),
+r(k, c) AS (SELECT k, k FROM d UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.k),
+m AS (SELECT k, min(c) AS c FROM r GROUP BY k),
+f AS (SELECT c, min(f) AS f FROM m JOIN d USING (k) GROUP BY c),
+g AS (SELECT l.doc_id, l.line FROM l JOIN d USING (b) JOIN m USING (k) JOIN f USING (c) WHERE f.f.d <> l.doc_id OR f.f.l <> l.line),
+o AS (SELECT doc_id, list(CAST(line AS INTEGER) ORDER BY line) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_gone, coalesce(gone, []) AS gone_lines FROM documents LEFT JOIN o USING (doc_id)
+"""

@@ -15,4 +15,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk_search": bm25.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op10_url_filters": url_filter.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op5_exact_topk_search": bm25.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op7_minhash_near_dedup": near_dedup.ORACLE, "op10_url_filters": url_filter.ORACLE}

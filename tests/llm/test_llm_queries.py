@@ -25,7 +25,7 @@ def test_query(spark, name):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     c.execute(queries.oracle_sql()[name])
     names = [x[0] for x in c.description]
-    key = lambda r: tuple((k, round(v, 5) if isinstance(v, float) else v) for k, v in sorted(r.items()))
+    key = lambda r: tuple((k, round(v, 5) if isinstance(v, float) else tuple(v) if isinstance(v, list) else v) for k, v in sorted(r.items()))
     want = [dict(zip(names, r, strict=True)) for r in c.fetchall()]
     assert sorted(map(repr, map(key, rows))) == sorted(map(repr, map(key, want)))
 
