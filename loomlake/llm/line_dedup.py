@@ -37,9 +37,15 @@ def shingle_count(body: Column) -> Column:
     return F.greatest(F.lit(1), F.length(body) - (SHINGLE - 1))
 
 
-def shingle_set(raw: Column, n: Column) -> Column:
-    """Distinct hashes of the `n` runs of SHINGLE characters of a line in UTF-16; a shorter line is one run."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n * 2, F.lit(2)), lambda p: F.xxhash64(F.substring(raw, p, F.lit(2 * SHINGLE)))))
+def shingle_set(body: Column) -> Column:
+    """Distinct hashes of the runs of SHINGLE characters of a line in UTF-16; a shorter line is one run.
+
+    The line is encoded once, as the element of a list of one: as a plain column it would
+    be encoded anew for each run.
+    """
+    places = F.sequence(F.lit(1), shingle_count(body) * 2, F.lit(2))
+    runs = lambda raw: F.array_distinct(F.transform(places, lambda p: F.xxhash64(F.substring(raw, p, F.lit(2 * SHINGLE)))))
+    return F.transform(F.array(F.encode(body, "UTF-16BE")), runs)[0]
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -99,8 +105,7 @@ def _links(lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
 
     # bodies are shuffled in UTF-8, half as long, and encoded where they are taken apart
     met = pairs.join(body("a"), ["a1", "a2"]).join(body("b"), ["b1", "b2"])
-    wide = met.select("a", "b", *(x for s in "ab" for x in (F.encode(f"body_{s}", "UTF-16BE").alias(f"raw_{s}"), shingle_count(F.col(f"body_{s}")).alias(f"n_{s}"))))
-    sets = wide.select("a", "b", shingle_set(F.col("raw_a"), F.col("n_a")).alias("x"), shingle_set(F.col("raw_b"), F.col("n_b")).alias("y"))
+    sets = met.select("a", "b", shingle_set(F.col("body_a")).alias("x"), shingle_set(F.col("body_b")).alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     return sets.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
 
@@ -115,11 +120,10 @@ def _within(ws: Workspace, lines: DataFrame, members: DataFrame, roots: DataFram
     placed = placed.join(lines.select("k", shingle_count(F.col("body")).alias("n")), "k")
     rest = ws.cut(blocks_apart(placed, BLOCK_ROWS, BLOCK_SHINGLES).join(lines.select("k", "h1", "h2"), "k"), "apart")
     rest = rest.join(lines.select("h1", "h2", "body"), ["h1", "h2"]).select("key", "i", "j", "side", "k", "root", "body").repartition("key", "i", "j")
-    rest = rest.select("key", "i", "j", "side", "k", "root", F.encode("body", "UTF-16BE").alias("raw"), shingle_count(F.col("body")).alias("n"))
 
     def side(x: str, s: str, other: int) -> DataFrame:
         own = rest.where(F.col("side") != other)
-        return own.select("key", "i", "j", F.col("k").alias(x), F.col("root").alias(f"root_{x}"), shingle_set(F.col("raw"), F.col("n")).alias(s))
+        return own.select("key", "i", "j", F.col("k").alias(x), F.col("root").alias(f"root_{x}"), shingle_set(F.col("body")).alias(s))
 
     least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     same = F.size(F.array_intersect("x", "y"))
