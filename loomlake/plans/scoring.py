@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring
 from ..sources.readers import table
-from .catalog import register
+from .catalog import register, rounded
 
 NOW = "TIMESTAMP '2024-06-30 00:00:00'"
 SCORED = "s AS (SELECT user_id AS query_id, event_id AS id, value / 100 AS score, ts, event_type AS session, event_type AS source, event_type AS channel FROM events)"
@@ -57,7 +57,7 @@ def temporal_proximity(spark: SparkSession, d: str) -> DataFrame:
 
 @_q("temporal_rank_blend", " SELECT id, round((1 - 0.3) * score + 0.3 * (1 - (row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, id) - 1) / greatest(count(*) OVER (PARTITION BY query_id) - 1, 1)), 6) AS score FROM s")
 def temporal_rank_blend(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.temporal_blend(_scored(spark, d), "query_id").select("id", _r("blended").alias("score"))
+    return scoring.temporal_blend(_scored(spark, d), "query_id").select("id", rounded(F.col("blended")).alias("score"))
 
 
 @register("version_penalty", "SELECT o_orderkey, round(1 - 0.7 * (1 - n / max(n) OVER (PARTITION BY o_custkey)), 6) AS factor FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)")
