@@ -17,7 +17,7 @@ def test_rounded(spark):
         assert sorted(map(tuple, got)) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["temporal_rank_blend"])
+@pytest.mark.parametrize("name", ["temporal_rank_blend", "narrative_coherence"])
 def test_scores_as_in_sql(spark, name):
     import duckdb
 
