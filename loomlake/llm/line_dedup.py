@@ -16,8 +16,10 @@ SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 9, 3
 #: A bucket with more than HOT of about SAMPLE sampled lines is dealt out over SALTS tasks.
 SAMPLE, HOT, SALTS = 50_000, 200, 64
-#: Members of a bucket that are still apart are compared in blocks of at most about so many members, and shingles.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
+#: Members of a bucket that are still apart are compared in blocks of at most about so many members.
+BLOCK_ROWS = 2048
+#: A line's sketch has so many words of 64 bits.
+WORDS = 16
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
@@ -110,25 +112,44 @@ def _links(lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return sets.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
-def _within(ws: Workspace, lines: DataFrame, members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _sketches(lines: DataFrame, members: DataFrame) -> DataFrame:
+    """k, h1, h2, n, s of each line of members: the size of its set, and bits that are set if an odd number of its hashes fall there."""
+    own = members.select("k").distinct().join(lines.select("k", "h1", "h2"), "k").join(lines.select("h1", "h2", "body"), ["h1", "h2"])
+    hashed = own.select("h1", "h2", "k", F.explode(shingle_set(F.col("body"))).alias("x"))
+    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(x, 58) AS INT))")
+    placed = hashed.select("h1", "h2", "k", F.col("x").bitwiseAND(F.lit(WORDS - 1)).alias("word"), bit.alias("bit"))
+    words = [F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(WORDS)]
+    return placed.groupBy("h1", "h2", "k").agg(F.count("*").alias("n"), *words).select("k", "h1", "h2", "n", F.array(*(f"s{i}" for i in range(WORDS))).alias("s"))
+
+
+def may_be_similar(similarity: float) -> Column:
+    """False only for sketches (n_a, s_a), (n_b, s_b) of sets that are less similar.
+
+    A bit differs only where one of the two sets has a hash that the other lacks, so sets
+    differ in at least as many hashes as their sketches in bits.
+    """
+    differ = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(1, WORDS)), F.bit_count(F.col("s_a")[0].bitwiseXOR(F.col("s_b")[0])))
+    near = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
+    return near & (differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6)
+
+
+def _within(ws: Workspace, lines: DataFrame, sketches: DataFrame, members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between members (key, k) of a bucket that lie in different components (node, root) so far.
 
-    Members outside a bucket's largest component meet all members, in blocks; whole sets are
-    made within the blocks, and of the links of a line to a component one returns.
+    Members outside a bucket's largest component meet all members, in blocks, by their
+    sketches; pairs that may be similar are verified on whole sets, once each.
     """
-    placed = members.join(roots.withColumnRenamed("node", "k"), "k", "left").select("key", "k", F.coalesce("root", "k").alias("root"))
-    placed = placed.join(lines.select("k", shingle_count(F.col("body")).alias("n")), "k")
-    rest = ws.cut(blocks_apart(placed, BLOCK_ROWS, BLOCK_SHINGLES).join(lines.select("k", "h1", "h2"), "k"), "apart")
-    rest = rest.join(lines.select("h1", "h2", "body"), ["h1", "h2"]).select("key", "i", "j", "side", "k", "root", "body").repartition("key", "i", "j")
+    placed = members.join(roots.withColumnRenamed("node", "k"), "k", "left").select("key", "k", F.coalesce("root", "k").alias("root"), F.lit(1).alias("n"))
+    rest = ws.cut(blocks_apart(placed, BLOCK_ROWS, BLOCK_ROWS), "apart")
+    rest = rest.join(sketches.select("k", "n", "s"), "k").repartition("key", "i", "j")
 
-    def side(x: str, s: str, other: int) -> DataFrame:
-        own = rest.where(F.col("side") != other)
-        return own.select("key", "i", "j", F.col("k").alias(x), F.col("root").alias(f"root_{x}"), shingle_set(F.col("body")).alias(s))
+    def side(x: str, other: int) -> DataFrame:
+        return rest.where(F.col("side") != other).select("key", "i", "j", F.col("k").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "s")))
 
-    least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    same = F.size(F.array_intersect("x", "y"))
-    met = side("a", "x", 1).hint("merge").join(side("b", "y", 0), ["key", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & (least >= similarity * most) & (same >= similarity * (F.size("x") + F.size("y") - same)))
-    return met.groupBy("b", "root_a").agg(F.min("a").alias("a")).select("a", "b")
+    met = side("a", 1).hint("merge").join(side("b", 0), ["key", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & may_be_similar(similarity))
+    met = ws.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    at = lambda x: sketches.select(F.col("k").alias(x), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"))
+    return _links(lines, met.join(at("a"), "a").join(at("b"), "b"), similarity)
 
 
 def _line_roots(ws: Workspace, lines: DataFrame, similarity: float) -> DataFrame:
@@ -145,10 +166,12 @@ def _line_roots(ws: Workspace, lines: DataFrame, similarity: float) -> DataFrame
     try:
         pairs, members = _candidates(ws, lines.select("h1", "h2", "k", "body"), lines.count())
         pairs = ws.cut(pairs, "candidates")
+        sketches = ws.cut(_sketches(lines, members), "sketches")
     finally:
         spark.conf.set(conf, before)
-    at = lambda side: lines.select(F.col("k").alias(side), F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"))
-    pairs = ws.cut(pairs.join(at("a"), "a").join(at("b"), "b"), "pairs")
+    at = lambda x: sketches.select(F.col("k").alias(x), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
+    plausible = pairs.join(at("a"), "a").join(at("b"), "b").where(may_be_similar(similarity))
+    pairs = ws.cut(plausible.select("a", "a1", "a2", "b", "b1", "b2"), "pairs")
     ws.drop("candidates")
     once = pairs.groupBy("b", "b1", "b2").agg(F.min(F.struct("a", "a1", "a2")).alias("o"))
     links = ws.cut(_links(lines, once.select("o.*", "b", "b1", "b2"), similarity), "links")
@@ -158,8 +181,8 @@ def _line_roots(ws: Workspace, lines: DataFrame, similarity: float) -> DataFrame
     rest = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = ws.cut(_links(lines, rest.select(pairs.columns), similarity), "more")
     second = ws.cut(components(ws, links.union(more), "lines"), "second")
-    last = ws.cut(_within(ws, lines, members, second, similarity), "last")
-    ws.drop("near", "apart")
+    last = ws.cut(_within(ws, lines, sketches, members, second, similarity), "last")
+    ws.drop("near", "apart", "sketches", "met")
     return components(ws, second.toDF("a", "b").union(last), "within")
 
 

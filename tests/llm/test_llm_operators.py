@@ -171,6 +171,30 @@ def test_lines_of_one_bucket_are_all_compared(spark, monkeypatch):
         assert {r.doc_id for r in got if r.gone} == {k for k, r in enumerate(root) if least[r] != k}
 
 
+def test_only_lines_of_near_sketches_are_taken_apart(spark, monkeypatch):
+    rng = random.Random(9)
+    tails = [" ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(rng.randrange(2, 40))) for _ in range(60)]
+    bodies = tails + [t[: len(t) - 1 - len(t) // c] + "z" * 4 for c in (30, 12, 8, 5) for t in tails[:20]] + ["ha " * 40, "ha " * 44, "東京" * 30, "東京" * 31, "x", "y"]
+    sets = [char_runs(b) for b in bodies]
+    pairs = [(a, b) for a in range(len(bodies)) for b in range(a)]
+    want = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    lines = spark.createDataFrame([(k, k, k, b) for k, b in enumerate(bodies)], "h1 long, h2 long, k long, body string")
+    sketches = line_dedup._sketches(lines, lines.select("k")).localCheckpoint()
+    assert {r.k: r.n for r in sketches.collect()} == {k: len(s) for k, s in enumerate(sets)}
+    at = lambda x: sketches.selectExpr(f"k AS {x}", f"n AS n_{x}", f"s AS s_{x}")
+    near = {(r.a, r.b) for r in at("a").crossJoin(at("b")).where("a > b").where(line_dedup.may_be_similar(0.8)).select("a", "b").collect()}
+    assert near >= set(want) and len(near) < 2 * len(want) < len(pairs) / 10
+
+    asked, links = [], line_dedup._links
+    monkeypatch.setattr(line_dedup, "_signatures", lambda lines: lines.selectExpr("k", "7L AS key"))
+    monkeypatch.setattr(line_dedup, "_links", lambda lines, met, similarity: asked.append(met.count()) or links(lines, met, similarity))
+    got = line_dedup.mark_lines(frame(spark, list(enumerate(bodies)))).collect()
+    root = roots(len(bodies), want)
+    least = {r: min(k for k, x in enumerate(root) if x == r) for r in root}
+    assert {r.doc_id for r in got if r.gone} == {k for k, r in enumerate(root) if least[r] != k}
+    assert len(asked) == 3 and sum(asked) < 2 * len(want)
+
+
 def signed(spark, bodies):
     lines = spark.createDataFrame([(k, k, k, b) for k, b in enumerate(bodies)], "h1 long, h2 long, k long, body string")
     out = {k: set() for k in range(len(bodies))}
