@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import held_out, parts, table, text_bytes
+from .common import held_out, parts, table, text_bytes, trim
 from .fitting import labelled_sample
 
 #: At most so many documents of each label are learnt from, all their chunks, each document as much as another.
@@ -199,13 +199,16 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label:
     if len(set(y.tolist())) < 2:
         share = (counts.get(1, 0) + 1e-3) / (sum(counts.values()) + 2e-3)
         return ByteNet(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros((SPAN + 1, FILTERS), np.float32), np.zeros(FILTERS, np.float32), shift=float(np.log(share / (1 - share))))
-    chunks = np.array([np.frombuffer(x, np.uint8) for x in got.column("x").to_pylist()])
+    chunks = np.frombuffer(b"".join(x for c in got.column("x").chunks for x in c.to_pylist()), np.uint8).reshape(len(y), -1)
     ids = np.array(got.column("doc_id").to_pylist())
+    del got
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     size = np.diff(np.r_[first, len(ids)])
     net = train(chunks, y, np.repeat(1.0 / size, size))
     logit = np.concatenate([np.tanh(pooled(net, c).max(1)) @ net.out + net.bias for c in np.array_split(chunks, max(1, len(chunks) // 512))])
     calibrate(net, np.add.reduceat(logit, first) / size, y[first], counts)
+    del chunks
+    trim()
     return net
 
 

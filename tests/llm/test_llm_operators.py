@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loomlake.llm import bm25, decontaminate, line_dedup, near_dedup, pieces, quality, sharding, token_counts, toxicity, url_filter
+from loomlake.llm import bm25, common, decontaminate, line_dedup, near_dedup, pieces, quality, sharding, token_counts, toxicity, url_filter
 
 DIR = "/root/testdata/sf0.001"
 WORDS = "amber birch cedar delta ember fjord grove heron islet jetty knoll larch maple north ocean pearl quartz river stone thorn umbra vault willow xenon yarrow zephyr".split()
@@ -114,6 +114,13 @@ def test_set_sketches_merge_and_estimate():
     assert abs(j - 0.5) < 0.12
 
 
+def test_cuts_give_free_memory_of_the_driver_back(spark, monkeypatch):
+    said, trim = [], common.trim_jvm
+    monkeypatch.setattr(common, "trim_jvm", lambda session: said.append(trim(session)))
+    common.Workspace(spark, "trim").cut(spark.range(3), "rows")
+    assert len(said) == 1 and "native heap" in said[0]
+
+
 # ---- line dedup --------------------------------------------------------------------------
 
 
