@@ -339,6 +339,48 @@ def test_blocks_and_postings_are_skipped(monkeypatch):
     assert index.skipped > 0 and index.read > 0
 
 
+def test_many_queries_at_once_find_the_same(monkeypatch):
+    rng = random.Random(13)
+    vocabulary = [rng.getrandbits(62) for _ in range(400)]
+    docs = [rng.choices(vocabulary, [1 / (k + 1) for k in range(400)], k=rng.randrange(5, 60)) for _ in range(700)]
+    docs += [docs[7] + docs[7]] * 12 + [[rng.getrandbits(62)] * 3]
+    sets = [np.unique(np.array(d, np.int64), return_counts=True) for d in docs]
+    lengths, n = np.array([len(d) for d in docs]), len(docs)
+    index = bm25.Index(np.arange(n), [t for t, _ in sets], [c for _, c in sets], lengths).open(float(lengths.mean()))
+    asked = [t for t, _ in sets[::9]] + [sets[-1][0], np.array([5, 6], np.int64)]
+    terms, own = np.unique(np.concatenate(asked), return_inverse=True)
+    idf = np.array([np.log1p((n - df + 0.5) / (df + 0.5)) for df in (sum(t in set(x.tolist()) for x, _ in sets) for t in terms.tolist())])
+    bounds = np.cumsum([0, *map(len, asked)])
+    want = [index.search(terms[own[a:b]], idf[own[a:b]], 10) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert len(want[-2]) == 1 and not want[-1]
+    for batch, part, dense in ((256, 8, 0.05), (7, 3, 0.0), (5, 2, 2.0)):
+        for name, x in (("BATCH", batch), ("PART", part), ("DENSE", dense)):
+            monkeypatch.setattr(bm25, name, x)
+        for floor in (np.zeros(len(asked)), np.array([w[-1][0] if w else 0.0 for w in want])):
+            got = dict(index.search_all(bounds, own, terms, idf, 10, floor))
+            assert [got.get(i, []) for i in range(len(asked))] == want
+
+
+def test_shards_return_few_rows(spark, monkeypatch):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(rng.randrange(20, 60)))) for i in range(1200)]
+    docs = frame(spark, rows).repartition(30).cache()
+    queries = docs.where("doc_id % 30 = 0")
+    want = {tuple(r) for r in bm25.top_k(docs, queries, 5).collect()}
+    made, cut = {}, common.Workspace.cut
+
+    def counted(self, df, name):
+        out = cut(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common.Workspace, "cut", counted)
+    monkeypatch.setattr(bm25, "SHARD", 20)
+    assert {tuple(r) for r in bm25.top_k(docs, queries, 5).collect()} == want
+    # 1, 3, 12 and 14 shards in turn
+    assert made["index"] == 30 and sum(n for name, n in made.items() if name.startswith("found")) < 10 * 5 * 40
+
+
 # ---- decontamination ---------------------------------------------------------------------
 
 
