@@ -14,6 +14,8 @@ from .components import blocks_apart, components
 SHINGLE, SIMILARITY = 8, 0.8
 #: A pair of similarity 0.8 shares none of 9 bands of 3 minima about once in 640, of 0.9 once in 140,000.
 BANDS, ROWS = 9, 3
+#: So many runs of a line are hashed and compared before the line's minima are looked up.
+STRIDE = 4
 #: A bucket with more than HOT of about SAMPLE sampled lines is dealt out over SALTS tasks.
 SAMPLE, HOT, SALTS = 50_000, 200, 64
 #: Members of a bucket that are still apart are compared in blocks of at most about so many members.
@@ -54,12 +56,18 @@ def _signatures(lines: DataFrame) -> DataFrame:
     """(key, k) for each band of each line. The rows of a line never leave its partition if that is by h1 and h2."""
     rng = random.Random(11)
     # encoded before the rows are exploded: in one select a line would be encoded anew for each position
-    wide = lines.select("h1", "h2", "k", F.encode("body", "UTF-16BE").alias("raw"), shingle_count(F.col("body")).alias("n"))
-    places = wide.select("h1", "h2", "k", "raw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
-    hashed = places.select("h1", "h2", "k", F.xxhash64(F.substring(F.col("raw"), F.col("p") * 2 + 1, F.lit(2 * SHINGLE))).alias("x0"))
-    hashed = hashed.withColumn("x1", F.xxhash64("x0")).withColumn("x2", F.xxhash64("x1"))
+    wide = lines.select("h1", "h2", "k", F.encode("body", "UTF-16BE").alias("raw"), (shingle_count(F.col("body")) - 1).alias("last"))
+    places = wide.select("h1", "h2", "k", "raw", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STRIDE))).alias("p"))
+    # beyond the end the last run counts again, which changes no minimum
+    at = lambda j: F.least(F.col("p") + j, F.col("last")) * 2 + 1
+    hashed = places.select("h1", "h2", "k", *(F.xxhash64(F.substring(F.col("raw"), at(j), F.lit(2 * SHINGLE))).alias(f"x0_{j}") for j in range(STRIDE)))
+    for t in (1, 2):
+        hashed = hashed.select("*", *(F.xxhash64(f"x{t - 1}_{j}").alias(f"x{t}_{j}") for j in range(STRIDE)))
     # the hash nearest to a random point, by exclusive or, is a random one of the union of two sets
-    minima = [F.min(F.col(f"x{i % 3}").bitwiseXOR(F.lit(rng.getrandbits(63) - (1 << 62)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
+    minima = []
+    for i in range(BANDS * ROWS):
+        point = F.lit(rng.getrandbits(63) - (1 << 62))
+        minima.append(F.min(F.least(*(F.col(f"x{i % 3}_{j}").bitwiseXOR(point) for j in range(STRIDE)))).alias(f"m{i}"))
     signed = hashed.groupBy("h1", "h2", "k").agg(*minima)
     bands = [F.xxhash64(F.lit(b), *(f"m{b + BANDS * r}" for r in range(ROWS))) for b in range(BANDS)]
     return signed.select("k", F.explode(F.array(*bands)).alias("key"))

@@ -210,6 +210,17 @@ def signed(spark, bodies):
     return [out[k] for k in range(len(bodies))]
 
 
+def test_signatures_do_not_depend_on_the_stride(spark, monkeypatch):
+    rng = random.Random(6)
+    bodies = ["".join(rng.choice("abcdefgh 東") for _ in range(n)) for n in (*range(1, 24), 90, 301)]
+    monkeypatch.setattr(line_dedup, "STRIDE", 1)
+    want = signed(spark, bodies)
+    assert all(want)
+    for stride in (3, 4, 8):
+        monkeypatch.setattr(line_dedup, "STRIDE", stride)
+        assert signed(spark, bodies) == want
+
+
 def test_long_lines_of_few_runs_are_signed(spark):
     bodies = [c * n for c in "=-_*#ab.~" for n in (200, 300)] + ["ha " * 90, "ha " * 91]
     keys = signed(spark, bodies)
