@@ -17,8 +17,15 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
 #: Words kept with their segmentation, in each of two generations of a Python worker; longer ones aren't kept.
-#: A word and what is kept of it take under 800 bytes, mostly under 400: some 45 MB.
-CACHE, CACHE_CHARS = 60_000, 64
+#: A word and what is kept of it take under 800 bytes, mostly under 400: some 115 MB.
+CACHE, CACHE_CHARS = 150_000, 64
+#: So many words of one length are segmented side by side: their arcs, 8 bytes each, are kept until all scores are known.
+SIDE = 4096
+#: Texts of so many characters are segmented together.
+BODIES = 1 << 21
+#: Words kept with their n best segmentations, in each of two generations: words with the least gap of a text come again
+#: and again. With three segmentations of up to 64 characters a word takes under 2 KB, mostly under 700 bytes.
+RANKED = 5_000
 
 
 def load_pieces(path: str) -> list[tuple[str, float, str]]:
@@ -49,6 +56,8 @@ class Pieces:
         self.raw = [bytes([int(p[3:-1], 16)]) if k == "byte" else b"" if k == "control" else "⁇".encode() if k == "unknown" else p.replace(SPACE, " ").encode() for p, _, k in pieces]
         self.cache: dict[str, tuple[bytes, float, float]] = {}
         self.older: dict[str, tuple[bytes, float, float]] = {}
+        self.ranked: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        self.ranked_before: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
         self._tables()
 
     def lattice(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -90,6 +99,18 @@ class Pieces:
                 heapq.heappush(heap, (-(best[a] + score + gained), own + ids, a, score + gained))
         return out
 
+    def ranks(self, s: str, n: int) -> list[tuple[float, bytes]]:
+        """Scores and packed ids of the n best segmentations of a word, from what is known of it if it came before."""
+        if (known := self.ranked.get((s, n))) is not None:
+            return known
+        if (known := self.ranked_before.get((s, n))) is None:
+            known = [(x, np.array(ids, "<u4").tobytes()) for x, ids in self.nbest(s, n)]
+        if len(s) <= CACHE_CHARS:
+            if len(self.ranked) >= RANKED:
+                self.ranked_before, self.ranked = self.ranked, {}
+            self.ranked[s, n] = known
+        return known
+
     def _tables(self) -> None:
         """The trie of pieces over letters of Latin scripts as one table, for words by the thousand."""
         self.letters = [c for c in self.arcs if len(c) == 1 and (c < "\u0250" or c == SPACE)][:255]
@@ -125,20 +146,22 @@ class Pieces:
         if len(self.cache) > CACHE:
             self.older, self.cache = self.cache, {}
         new = set().union(*texts).difference(self.cache)
-        for w in new & self.older.keys():
-            self.cache[w] = self.older[w]
-        new = {w for w in new if w not in self.older}
         by: dict[int, list[str]] = {}
         for w in new:
-            by.setdefault(len(w), []).append(w)
+            if (known := self.older.get(w)) is not None:
+                self.cache[w] = known
+            else:
+                by.setdefault(len(w), []).append(w)
         for n, words in by.items():
             if n > 48:
                 continue
             o = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(-1, n)
             codes = np.where(o < len(self.codes), self.codes[np.minimum(o, len(self.codes) - 1)], 0)
             fit = (codes > 0).all(1)
-            if fit.any():
-                self._words([w for w, f in zip(words, fit.tolist(), strict=True) if f], codes[fit])
+            if not fit.all():
+                words, codes = [w for w, f in zip(words, fit.tolist(), strict=True) if f], codes[fit]
+            for k in range(0, len(words), SIDE):
+                self._words(words[k : k + SIDE], codes[k : k + SIDE])
 
     def _words(self, words: list[str], codes: np.ndarray) -> None:
         m, n = codes.shape
@@ -146,16 +169,16 @@ class Pieces:
         back, ids = np.zeros((n + 1, m), np.int64), np.zeros((n + 1, m), np.uint32)
         best[0], tail[n] = 0.0, 0.0
 
-        def arcs(a: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        columns = np.ascontiguousarray(codes.T)
+        arcs: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n)]
+        for a in range(n):
             node = np.ones(m, self.step.dtype)
-            for b in range(a, min(n, a + self.longest)):
-                node = self.step[node, codes[:, b]]
+            for b in range(a + 1, min(n, a + self.longest) + 1):
+                node = self.step[node, columns[b - 1]]
                 if not node.any():
-                    return
-                yield b + 1, node, self.hit_scores[node]
-
-        for a in range(n):
-            for b, node, score in arcs(a):
+                    break
+                score = self.hit_scores[node]
+                arcs[a].append((b, score))
                 score = score + best[a]
                 up = np.flatnonzero(score > best[b])
                 best[b, up], back[b, up], ids[b, up] = score[up], a, self.hit_ids[node[up]]
@@ -173,7 +196,7 @@ class Pieces:
             steps[live] += 1
         second = np.full(m, -np.inf)
         for a in range(n - 1, -1, -1):
-            for b, _, score in arcs(a):
+            for b, score in arcs[a]:
                 score = score + tail[b]
                 np.maximum(tail[a], score, out=tail[a])
                 # every other path has an arc off the best one
@@ -288,7 +311,8 @@ class Pieces:
             packed, scores, gaps = zip(*map(self.cache.__getitem__, names), strict=True)
         except KeyError:
             packed, scores, gaps = zip(*map(self.word, names), strict=True)
-        ids = np.frombuffer(b"".join(packed), "<u4")
+        raw = b"".join(packed)
+        ids = np.frombuffer(raw, "<u4")
         total = float(sum(scores))
         if n == 1:
             return [ids], [total]
@@ -298,17 +322,19 @@ class Pieces:
         # each combination: what it loses, and the words that it spells otherwise
         chosen: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
         for i in least:
-            found = ((max(0.0, scores[i] - x), np.array(own, "<u4").tobytes()) for x, own in self.nbest(names[i], n))
+            found = ((max(0.0, scores[i] - x), own) for x, own in self.ranks(names[i], n))
             # the best segmentation goes first, also among equals
             others = [(loss, {i: own}) for loss, own in found if own != packed[i]]
             own = [(0.0, {}), *others]
             chosen = heapq.nsmallest(n, ((x + y, a | b) for x, a in chosen for y, b in own), key=lambda c: c[0])
         out = [ids]
         for _, words in chosen[1:]:
-            parts = list(packed)
-            for i, own in words.items():
-                parts[i] = own
-            out.append(np.frombuffer(b"".join(parts), "<u4"))
+            parts, word, byte = [], 0, 0
+            for i, own in sorted(words.items()):
+                start = byte + sum(map(len, packed[word:i]))
+                parts += [raw[byte:start], own]
+                word, byte = i + 1, start + len(packed[i])
+            out.append(np.frombuffer(b"".join([*parts, raw[byte:]]), "<u4"))
         return out, [total - x for x, _ in chosen]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -355,7 +381,7 @@ def _mapper(docs: DataFrame, pieces: list, n_best: int, text: str, schema: T.Str
             start = 0
             while start < batch.num_rows:
                 bodies, size = [], 0
-                while start + len(bodies) < batch.num_rows and size < 1 << 19:
+                while start + len(bodies) < batch.num_rows and size < BODIES:
                     bodies.append(batch.column(text)[start + len(bodies)].as_py() or "")
                     size += len(bodies[-1])
                 part = batch.slice(start, len(bodies))

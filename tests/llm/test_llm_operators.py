@@ -589,6 +589,28 @@ def test_n_best_is_exact():
         assert p.decode(ids) == text
 
 
+def test_words_are_ranked_once_in_bounded_tables(monkeypatch):
+    monkeypatch.setattr(pieces, "RANKED", 3)
+    monkeypatch.setattr(pieces, "SIDE", 2)
+    table = pieces.load_pieces(pieces.MODEL)
+    p, asked = pieces.Pieces(table), []
+    search = p.nbest
+    monkeypatch.setattr(p, "nbest", lambda s, n: asked.append(s) or search(s, n))
+    names = p.words("the stone river willow yarrow")
+    p.learn([names])
+    first = p.segmentations(names, 3)
+    assert len(asked) == 2
+    again = p.segmentations(names, 3)
+    assert len(asked) == 2 and again[1] == first[1] and all((x == y).all() for x, y in zip(first[0], again[0], strict=True))
+    for w in (*WORDS, "żółw", "東京 ok", *WORDS):
+        names = p.words(f"the {w} river")
+        p.learn([names])
+        ids, scores = p.segmentations(names, 3)
+        want = search((f" the {w} river").replace(" ", "▁"), 3)
+        assert np.allclose(scores, [x for x, _ in want]) and all(p.decode(x) == f"the {w} river" for x in ids)
+        assert len(p.ranked) <= 3 and len(p.ranked_before) <= 3
+
+
 def test_n_best_ids_are_returned(spark):
     import hashlib
 
