@@ -108,26 +108,33 @@ def _candidates(ws: Workspace, lines: DataFrame, n_lines: int) -> tuple[DataFram
 
 
 def _links(lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar. Bodies stay where their buckets are until a pair asks for them."""
+    """Those pairs (a, b) of lines (k, body) whose whole sets are similar."""
 
     def body(side: str) -> DataFrame:
-        return lines.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.col("body").alias(f"body_{side}"))
+        return lines.select(F.col("k").alias(side), F.col("body").alias(f"body_{side}"))
 
     # bodies are shuffled in UTF-8, half as long, and encoded where they are taken apart
-    met = pairs.join(body("a"), ["a1", "a2"]).join(body("b"), ["b1", "b2"])
+    met = pairs.select("a", "b").join(body("a"), "a").join(body("b"), "b")
     sets = met.select("a", "b", shingle_set(F.col("body_a")).alias("x"), shingle_set(F.col("body_b")).alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     return sets.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
-def _sketches(lines: DataFrame, members: DataFrame) -> DataFrame:
-    """k, h1, h2, n, s of each line of members: the size of its set, and bits that are set if an odd number of its hashes fall there."""
-    own = members.select("k").distinct().join(lines.select("k", "h1", "h2"), "k").join(lines.select("h1", "h2", "body"), ["h1", "h2"])
-    hashed = own.select("h1", "h2", "k", F.explode(shingle_set(F.col("body"))).alias("x"))
+def _own(lines: DataFrame, members: DataFrame) -> DataFrame:
+    """(k, body) of the lines of members. Bodies stay where they are until a member asks for them, and needn't be sorted."""
+    asked = members.select("k").distinct().join(lines.select("k", "h1", "h2"), "k")
+    return lines.select("h1", "h2", "body").join(asked.hint("shuffle_hash"), ["h1", "h2"]).select("k", "body")
+
+
+def _sketches(lines: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """k, n, s of each line of members, or of all: the size of its set, and bits that are set if an odd number of its hashes fall there."""
+    own = lines if members is None else _own(lines, members)
+    hashed = own.repartition("k").select("k", F.explode(shingle_set(F.col("body"))).alias("x"))
     bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(x, 58) AS INT))")
-    placed = hashed.select("h1", "h2", "k", F.col("x").bitwiseAND(F.lit(WORDS - 1)).alias("word"), bit.alias("bit"))
-    words = [F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(WORDS)]
-    return placed.groupBy("h1", "h2", "k").agg(F.count("*").alias("n"), *words).select("k", "h1", "h2", "n", F.array(*(f"s{i}" for i in range(WORDS))).alias("s"))
+    # word by word first: of a line's many hashes each then changes one sum, not WORDS
+    by_word = hashed.groupBy("k", F.col("x").bitwiseAND(F.lit(WORDS - 1)).alias("word")).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == i, F.col("bits"))), F.lit(0).cast("long")).alias(f"s{i}") for i in range(WORDS)]
+    return by_word.groupBy("k").agg(F.sum("n").alias("n"), *words).select("k", "n", F.array(*(f"s{i}" for i in range(WORDS))).alias("s"))
 
 
 def may_be_similar(similarity: float) -> Column:
@@ -141,7 +148,7 @@ def may_be_similar(similarity: float) -> Column:
     return near & (differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6)
 
 
-def _within(ws: Workspace, lines: DataFrame, sketches: DataFrame, members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _within(ws: Workspace, own: DataFrame, sketches: DataFrame, members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between members (key, k) of a bucket that lie in different components (node, root) so far.
 
     Members outside a bucket's largest component meet all members, in blocks, by their
@@ -156,8 +163,7 @@ def _within(ws: Workspace, lines: DataFrame, sketches: DataFrame, members: DataF
 
     met = side("a", 1).hint("merge").join(side("b", 0), ["key", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & may_be_similar(similarity))
     met = ws.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    at = lambda x: sketches.select(F.col("k").alias(x), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"))
-    return _links(lines, met.join(at("a"), "a").join(at("b"), "b"), similarity)
+    return _links(own, met, similarity)
 
 
 def _line_roots(ws: Workspace, lines: DataFrame, similarity: float) -> DataFrame:
@@ -174,23 +180,24 @@ def _line_roots(ws: Workspace, lines: DataFrame, similarity: float) -> DataFrame
     try:
         pairs, members = _candidates(ws, lines.select("h1", "h2", "k", "body"), lines.count())
         pairs = ws.cut(pairs, "candidates")
-        sketches = ws.cut(_sketches(lines, members), "sketches")
+        own = ws.cut(_own(lines, members), "own")
+        sketches = ws.cut(_sketches(own), "sketches")
     finally:
         spark.conf.set(conf, before)
-    at = lambda x: sketches.select(F.col("k").alias(x), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
+    at = lambda x: sketches.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
     plausible = pairs.join(at("a"), "a").join(at("b"), "b").where(may_be_similar(similarity))
-    pairs = ws.cut(plausible.select("a", "a1", "a2", "b", "b1", "b2"), "pairs")
+    pairs = ws.cut(plausible.select("a", "b"), "pairs")
     ws.drop("candidates")
-    once = pairs.groupBy("b", "b1", "b2").agg(F.min(F.struct("a", "a1", "a2")).alias("o"))
-    links = ws.cut(_links(lines, once.select("o.*", "b", "b1", "b2"), similarity), "links")
+    once = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    links = ws.cut(_links(own, once, similarity), "links")
     roots = ws.cut(components(ws, links, "first"), "roots")
     side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    rest = pairs.join(once.select("b", F.col("o.a").alias("done")), "b").where(F.col("a") != F.col("done"))
+    rest = pairs.join(once.select("b", F.col("a").alias("done")), "b").where(F.col("a") != F.col("done"))
     rest = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = ws.cut(_links(lines, rest.select(pairs.columns), similarity), "more")
+    more = ws.cut(_links(own, rest.select(pairs.columns), similarity), "more")
     second = ws.cut(components(ws, links.union(more), "lines"), "second")
-    last = ws.cut(_within(ws, lines, sketches, members, second, similarity), "last")
-    ws.drop("near", "apart", "sketches", "met")
+    last = ws.cut(_within(ws, own, sketches, members, second, similarity), "last")
+    ws.drop("near", "apart", "sketches", "met", "own")
     return components(ws, second.toDF("a", "b").union(last), "within")
 
 

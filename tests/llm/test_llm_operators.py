@@ -202,6 +202,22 @@ def test_only_lines_of_near_sketches_are_taken_apart(spark, monkeypatch):
     assert len(asked) == 3 and sum(asked) < 2 * len(want)
 
 
+def test_links_need_the_bodies_of_members_only(spark):
+    rng = random.Random(12)
+    bodies = [" ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(12)) for _ in range(12)]
+    bodies += [t[:-4] + "last" for t in bodies[:6]] + ["ha " * 40, "ha " * 44, "東京" * 30, "東京" * 31, "x"]
+    sets = [char_runs(b) for b in bodies]
+    lines = spark.createDataFrame([(k, -k, k, b) for k, b in enumerate(bodies)], "h1 long, h2 long, k long, body string")
+    members = [k for k in range(len(bodies)) if k % 5]
+    own = line_dedup._own(lines, spark.createDataFrame([(key, k) for k in members for key in (1, 2)], "key long, k long")).localCheckpoint()
+    assert sorted(map(tuple, own.collect())) == [(k, bodies[k]) for k in members]
+    pairs = [(a, b) for a in members for b in members if a < b]
+    want = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(want) >= 4
+    assert {tuple(r) for r in line_dedup._links(own, spark.createDataFrame(pairs, "a long, b long"), 0.8).collect()} == want
+    assert {r.k: r.n for r in line_dedup._sketches(own).collect()} == {k: len(sets[k]) for k in members}
+
+
 def signed(spark, bodies):
     lines = spark.createDataFrame([(k, k, k, b) for k, b in enumerate(bodies)], "h1 long, h2 long, k long, body string")
     out = {k: set() for k in range(len(bodies))}
