@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,6 +121,7 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when(most > 0, F.size(F.array_intersect(x, y)) / most).otherwise(0.0)
 
 
+@lru_cache(1 << 15)
 def _jaro_winkler(s: str, t: str) -> float:
     if s == t:
         return 1.0
@@ -140,7 +143,7 @@ def _jaro_winkler(s: str, t: str) -> float:
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    """Jaro-Winkler similarity, prefix weight 0.1, for a similarity of over 0.7. Spark has no such function: batches go to Python by Arrow."""
+    """Jaro-Winkler similarity, prefix weight 0.1, for a similarity of over 0.7. Spark has no such function: batches go to Python by Arrow; a worker keeps the last pairs' values."""
     def both(x, y):
         import pandas as pd
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import spread
 
 
 def blocking_keys(name: Column) -> Column:
@@ -13,6 +16,21 @@ def blocking_keys(name: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(name), F.lit("([a-z0-9]{2,})"), 1), lambda w: F.substring(w, 1, 3)))
 
 
+def name_pairs(rows: DataFrame, by: list[str], scores: Callable[[Column, Column], list[Column]], carry: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, scores, carried columns as a_* and b_*) of all pairs a < b of rows (id, name, by, carry) that agree in `by`.
+
+    Rows of one name in one block are a class: scores of two names are taken once for two
+    classes, whatever their numbers of rows, and the rows come out of the classes last.
+    """
+    held = spread.classes(rows.select(*by, "name", "id", *carry), [*by, "name"], ["id", *carry])
+    side = lambda c: held.select(*by, F.col("name").alias(f"name_{c}"), F.col("held").alias(f"held_{c}"))
+    scored = spread.dealt_join(side("a"), side("b"), by, F.struct("name_a", F.col("held_a")[0]["id"])).select("held_a", "held_b", *scores(F.col("name_a"), F.col("name_b")))
+    names = [c for c in scored.columns if not c.startswith("held_")]
+    pairs = scored.select(F.explode("held_a").alias("p"), "held_b", *names).select("p", F.explode("held_b").alias("q"), *names).where(F.col("p.id") < F.col("q.id"))
+    carried = [F.col(f"{p}.{c}").alias(f"{side}_{c}") for c in carry for side, p in (("a", "p"), ("b", "q"))]
+    return pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), *names, *carried)
+
+
 def resolve(new: DataFrame, known: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, entity, kind, score) of new (id, name, type) among known (id, name, type, aliases) of the same type.
 

@@ -69,21 +69,21 @@ def contact_keys(spark: SparkSession, d: str) -> DataFrame:
 PAIRS = "p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name AS x, b.p_name AS y, a.p_type AS s, b.p_type AS t FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)"
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    side = lambda k, n, t: table(spark, d, "part").select("p_brand", "p_size", F.col("p_partkey").alias(k), F.col("p_name").alias(n), F.col("p_type").alias(t))
-    return side("a", "x", "s").join(side("b", "y", "t"), ["p_brand", "p_size"]).where("a < b")
+def _pairs(spark: SparkSession, d: str, scores, carry: tuple[str, ...] = ()) -> DataFrame:
+    rows = table(spark, d, "part").select("p_brand", "p_size", F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"))
+    return resolution.name_pairs(rows, ["p_brand", "p_size"], scores, carry)
 
 
 @register("name_similarity", f"WITH {PAIRS} SELECT a, b, round(jaro_winkler_similarity(x, y), 6) AS jw, round(len(list_intersect(list_distinct(string_split(x, ' ')), list_distinct(string_split(y, ' ')))) / greatest(len(list_distinct(string_split(x, ' '))), len(list_distinct(string_split(y, ' ')))), 6) AS overlap FROM p")
 def name_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("a", "b", _r(text.jaro_winkler(F.col("x"), F.col("y"))).alias("jw"), _r(text.token_overlap(F.col("x"), F.col("y"))).alias("overlap"))
+    return _pairs(spark, d, lambda x, y: [_r(text.jaro_winkler(x, y)).alias("jw"), _r(text.token_overlap(x, y)).alias("overlap")])
 
 
 @register("type_matches", f"WITH {PAIRS}, q AS (SELECT a, b, CASE WHEN s = 'ECONOMY' THEN 'CONCEPT' ELSE s END AS s, t, x, split_part(y, ' ', 1) AS y FROM p) SELECT a, b, s = t OR s = 'CONCEPT' OR t = 'CONCEPT' AS fits, CASE WHEN s = t THEN 1.0::DOUBLE WHEN s = 'CONCEPT' THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END AS penalty, round(CASE WHEN contains(x, y) AND length(y) <= length(x) THEN length(y) / length(x) WHEN contains(y, x) THEN length(x) / length(y) ELSE 0 END, 6) AS held FROM q")
 def type_matches(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).withColumn("s", F.when(F.col("s") == "ECONOMY", "CONCEPT").otherwise(F.col("s")))
-    y = F.substring_index("y", " ", 1)
-    return p.select("a", "b", text.types_compatible(F.col("s"), F.col("t")).alias("fits"), text.type_penalty(F.col("s"), F.col("t")).alias("penalty"), _r(text.containment(F.col("x"), y)).alias("held"))
+    p = _pairs(spark, d, lambda x, y: [_r(text.containment(x, F.substring_index(y, " ", 1))).alias("held")], ("type",))
+    s, t = F.when(F.col("a_type") == "ECONOMY", "CONCEPT").otherwise(F.col("a_type")), F.col("b_type")
+    return p.select("a", "b", text.types_compatible(s, t).alias("fits"), text.type_penalty(s, t).alias("penalty"), "held")
 
 
 ENTITIES = """n AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'the ' || p_name ELSE p_name || 's' END AS name, p_type AS type FROM part WHERE p_partkey % 2 = 1),
