@@ -19,3 +19,10 @@ def test_names_are_scored_once_for_each_two_classes(spark, monkeypatch):
     want = sorted((a, b, text(x, y)) for a, s, x in rows for b, t, y in rows if a < b and s == t and s)
     assert got == want and scored.value < len(want)
     assert out.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_carried_columns_come_with_each_row_of_a_class(spark, monkeypatch):
+    monkeypatch.setattr(spread, "CLASS", 3)
+    rows = [(i, "x", "n", f"t{i % 4}" if i % 4 else None) for i in range(20)]
+    got = resolution.name_pairs(spark.createDataFrame(rows, "id long, block string, name string, type string"), ["block"], lambda x, y: [(x == y).alias("same")], ("type",))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((a[0], b[0], True, a[3], b[3])) for a in rows for b in rows if a[0] < b[0])
