@@ -37,21 +37,28 @@ def resolve(new: DataFrame, known: DataFrame, threshold: float = 0.85) -> DataFr
     An equal name counts before an equal alias, and these (score 1) before names that share
     a blocking key with 0.6 * Jaro-Winkler + 0.4 * token overlap of over the threshold; the
     best wins, then the least id. Exact matches leave before the costly score is taken.
+    All is found for a type and name once, by the least entity of each known one, and then
+    given to the rows that have it.
     """
     n = new.select("id", F.lower("name").alias("name"), "type")
     k = known.select(F.col("id").alias("entity"), F.lower("name").alias("other"), "type", "aliases")
-    first = lambda rows, kind: rows.groupBy("id").agg(F.min("entity").alias("entity")).select("id", "entity", F.lit(kind).alias("kind"), F.lit(1.0).alias("score"))
-    exact = first(n.join(k.select("entity", "type", F.col("other").alias("name")), ["type", "name"]), "exact")
-    rest = n.join(exact.select("id"), "id", "left_anti")
-    aliases = k.select("entity", "type", F.explode("aliases").alias("a")).select("entity", "type", F.lower("a").alias("name"))
-    alias = first(rest.join(aliases, ["type", "name"]), "alias")
-    rest = rest.join(alias.select("id"), "id", "left_anti")
-    keyed = lambda rows, c: rows.withColumn("key", F.explode(blocking_keys(F.col(c))))
-    pairs = keyed(rest, "name").join(keyed(k.drop("aliases"), "other"), ["type", "key"]).select("id", "name", "entity", "other").distinct()
+    asked, by = n.select("type", "name").distinct(), ["type", "name"]
+    least = k.groupBy("type", "other").agg(F.min("entity").alias("entity"))
+    first = lambda rows, kind: rows.select("type", "name", "entity", F.lit(kind).alias("kind"), F.lit(1.0).alias("score"))
+    exact = first(asked.join(least.withColumnRenamed("other", "name"), by), "exact")
+    rest = asked.join(exact.select(*by), by, "left_anti")
+    aliases = k.select("entity", "type", F.explode("aliases").alias("a")).groupBy("type", F.lower("a").alias("name")).agg(F.min("entity").alias("entity"))
+    alias = first(rest.join(aliases, by), "alias")
+    rest = rest.join(alias.select(*by), by, "left_anti")
+    keyed = lambda rows, c, keys: rows.withColumn(keys, blocking_keys(F.col(c))).withColumn("key", F.explode(keys))
+    pairs = spread.dealt_join(keyed(rest, "name", "ka"), keyed(least, "other", "kb"), ["type", "key"], F.col("name"))
+    pairs = pairs.where(F.col("key") == F.array_min(F.array_intersect("ka", "kb"))).select("type", "name", "entity", "other")  # once, at the least common key
     score = 0.6 * text.jaro_winkler(F.col("name"), F.col("other")) + 0.4 * text.token_overlap(F.col("name"), F.col("other"))
-    best = Window.partitionBy("id").orderBy(F.round("score", 9).desc(), "entity")
-    fuzzy = pairs.select("id", "entity", score.alias("score")).where(F.col("score") > threshold).withColumn("r", F.row_number().over(best)).where("r = 1")
-    return exact.union(alias).union(fuzzy.select("id", "entity", F.lit("fuzzy"), "score"))
+    best = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), "entity")
+    fuzzy = pairs.select("type", "name", "entity", score.alias("score")).where(F.col("score") > threshold).withColumn("r", F.row_number().over(best)).where("r = 1")
+    found = exact.union(alias).union(fuzzy.select("type", "name", "entity", F.lit("fuzzy"), "score"))
+    place = F.struct((F.when(F.col("kind") == "exact", 0).when(F.col("kind") == "alias", 1).otherwise(2)).alias("k"), (-F.round("score", 9)).alias("s"), "entity", "kind", "score")
+    return n.join(found, by).groupBy("id").agg(F.min(place).alias("m")).select("id", "m.entity", "m.kind", "m.score")
 
 
 def blocked_pairs(rows: DataFrame, threshold: float) -> DataFrame:

@@ -26,3 +26,15 @@ def test_carried_columns_come_with_each_row_of_a_class(spark, monkeypatch):
     rows = [(i, "x", "n", f"t{i % 4}" if i % 4 else None) for i in range(20)]
     got = resolution.name_pairs(spark.createDataFrame(rows, "id long, block string, name string, type string"), ["block"], lambda x, y: [(x == y).alias("same")], ("type",))
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((a[0], b[0], True, a[3], b[3])) for a in rows for b in rows if a[0] < b[0])
+
+
+def test_resolution_finds_a_name_once_for_all_its_rows(spark):
+    names = ["Red Ring", "the red ring", "red rings", "blue bolt", "old gear"]
+    new = spark.createDataFrame([(i, names[i % 5], "t") for i in range(300)], "id long, name string, type string")
+    known = spark.createDataFrame([(900 - i, ["red ring", "red rod", "blue bolts"][i % 3], "t", ["old GEAR"] if i % 50 == 1 else []) for i in range(300)], "id long, name string, type string, aliases array<string>")
+    out = resolution.resolve(new, known, 0.7)
+    got = {r.id: (r.entity, r.kind, round(r.score, 3)) for r in out.collect()}
+    assert len(got) == 300 and all(got[i] == got[i % 5] for i in got)
+    assert got[0] == (603, "exact", 1.0) and got[4] == (649, "alias", 1.0) and got[1][:2] == (603, "fuzzy") and got[3][:2] == (601, "fuzzy")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(type" in plan and not any("Join Inner" in x and "key" in x and "_deal" not in x for x in plan.splitlines())
