@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import spread
+from . import spread, vectors
 
 
 def blocking_keys(name: Column) -> Column:
@@ -62,15 +62,8 @@ def resolve(new: DataFrame, known: DataFrame, threshold: float = 0.85) -> DataFr
 
 
 def blocked_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score) with a < b of rows (id, name, embedding) that share a blocking key and whose dot product reaches the threshold.
-
-    Ids alone are paired; vectors, taken as of length 1, join the distinct pairs.
-    """
-    keys = rows.select("id", F.explode(blocking_keys(F.col("name"))).alias("key"))
-    pairs = keys.select("key", F.col("id").alias("a")).join(keys.select("key", F.col("id").alias("b")), "key").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    side = lambda c: rows.select(F.col("id").alias(c), F.col("embedding").alias(f"e{c}"))
-    product = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", product.alias("score")).where(F.col("score") >= threshold)
+    """(a, b, score) with a < b of rows (id, name, embedding) that share a blocking key and whose dot product reaches the threshold; vectors are taken as of length 1."""
+    return vectors.near_pairs(rows.select("id", blocking_keys(F.col("name")).alias("keys"), "embedding"), threshold, False)
 
 
 def signs(vector: Column) -> Column:

@@ -38,3 +38,30 @@ def test_resolution_finds_a_name_once_for_all_its_rows(spark):
     assert got[0] == (603, "exact", 1.0) and got[4] == (649, "alias", 1.0) and got[1][:2] == (603, "fuzzy") and got[3][:2] == (601, "fuzzy")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "(type" in plan and not any("Join Inner" in x and "key" in x and "_deal" not in x for x in plan.splitlines())
+
+
+def test_near_pairs_meet_in_blocks_and_come_once(spark, monkeypatch):
+    import random
+
+    from loomlake.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    dice = random.Random(3)
+    rows = [(f"r{i}", [f"k{dice.randrange(3)}", f"m{dice.randrange(4)}", None], [dice.uniform(-1, 1) for _ in range(2 + (i % 9 == 0))]) for i in range(90)]
+    rows += [("zero", ["k1"], [0.0, 0.0]), ("none", ["k1"], None), ("null", ["k1"], [1.0, None]), ("no keys", [], [1.0, 1.0]), ("least", ["k0"], [1e-3, 1e-3])]
+    df = spark.createDataFrame(rows, "id string, keys array<string>, embedding array<double>")
+
+    def want(unit, threshold):
+        out = {}
+        for a, ka, ea in rows:
+            for b, kb, eb in rows:
+                if a < b and set(ka) & set(kb) - {None} and ea and eb and len(ea) == len(eb) and None not in ea + eb:
+                    n = (sum(x * x for x in ea) * sum(x * x for x in eb)) ** 0.5 if unit else 1.0
+                    out[a, b] = sum(x * y for x, y in zip(ea, eb)) / n if n else 0.0
+        return {k: round(v, 9) for k, v in out.items() if v >= threshold}
+
+    for unit in (True, False):
+        out = vectors.near_pairs(df, 0.4, unit)
+        got = [((r.a, r.b), round(r.score, 9)) for r in out.collect()]
+        assert len(got) == len(dict(got)) and dict(got) == want(unit, 0.4)
+        assert "Join Inner" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Join Inner") == 1  # of the sizes alone
