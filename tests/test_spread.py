@@ -65,3 +65,24 @@ def test_near_pairs_meet_in_blocks_and_come_once(spark, monkeypatch):
         got = [((r.a, r.b), round(r.score, 9)) for r in out.collect()]
         assert len(got) == len(dict(got)) and dict(got) == want(unit, 0.4)
         assert "Join Inner" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Join Inner") == 1  # of the sizes alone
+
+
+def test_conflicts_are_found_without_joining_all_with_all(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from loomlake.operators import relations
+
+    dice, day = random.Random(5), lambda k: None if k is None else datetime(2020, 1, 1) + timedelta(days=k)
+    kind = "id long, src long, dst long, type string, valid_from timestamp_ntz, valid_until timestamp_ntz"
+    make = lambda ids: [(i, dice.choice([1, 2, None]), 1, "t", day(f := dice.choice([*range(12), None])), day(dice.choice([None, None, (f or 0) + dice.randrange(-2, 6)]))) for i in ids]
+    stored, new = make(range(80)), make([dice.randrange(120) for _ in range(60)])
+    far = datetime(9999, 12, 31)
+    want = {}
+    for i, s, d, t, f, u in stored:
+        hits = [nf for ni, ns, nd, nt, nf, nu in new if s and (s, d, t) == (ns, nd, nt) and f and nf and f < (nu or far) and (u or far) > nf and i != ni and f <= nf]
+        want[i] = (min([x for x in (u, min(hits, default=None)) if x], default=None), bool(hits))
+    out = relations.invalidate_conflicts(spark.createDataFrame(stored, kind), spark.createDataFrame(new, kind))
+    assert {r.id: (r.valid_until, r.invalidated) for r in out.collect()} == want and out.count() == 80
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not any("Join Inner" in x and "<=" in x for x in plan.splitlines())
