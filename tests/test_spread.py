@@ -86,3 +86,26 @@ def test_conflicts_are_found_without_joining_all_with_all(spark):
     assert {r.id: (r.valid_until, r.invalidated) for r in out.collect()} == want and out.count() == 80
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and not any("Join Inner" in x and "<=" in x for x in plan.splitlines())
+
+
+def test_a_chunks_pairs_come_without_a_join(spark):
+    from loomlake.operators import graph, relations
+
+    rows = [(e, c) for c in range(9) for e in range(c % 4, 8)] * 2 + [(None, 1), (3, None), (4, None), (3, None)]
+    m = spark.createDataFrame(rows, "entity long, chunk long")
+    held = {c: sorted({e for e, k in rows if k == c and e is not None}) for c in range(9)}
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    for most in (3, 50):
+        first = {c: ([None] * (c == 1) + es)[:most] for c, es in held.items()}
+        want = {}
+        for es in first.values():
+            for pair in ((a, b) for a in es for b in es if a is not None and b is not None and a < b):
+                want[pair] = want.get(pair, 0) + 1
+        out = graph.co_occurrence(m, 2, most)
+        assert {(r.a, r.b): r.n for r in out.collect()} == {k: n for k, n in want.items() if n >= 2} and "Join" not in plan(out)
+        known = spark.createDataFrame([(5, 4), (6, 7)], "src long, dst long")
+        assert {tuple(r)[:2] for r in relations.associations(m, known, most).collect()} == set(want) - {(4, 5), (6, 7)}
+    assert out.sparkSession.range(10).transform(lambda x: spread.wide(x, "id")).rdd.getNumPartitions() >= 12
+    s = spark.createDataFrame([(c % 2, c, 1.0) for c in range(9)], "query_id long, id long, score double")
+    out = relations.narrative(s, m.where("entity % 7 = 0"))
+    assert {r.id: round(r.score, 2) for r in out.collect()} == {c: {0: 1.4, 1: 1.2, 2: 1.2, 3: 1.2}[min(c % 4, 1)] for c in range(9)} and plan(out).count("Join") == 2
