@@ -81,13 +81,13 @@ def version_penalty(version: Column, by: str, weight: float = 0.7) -> Column:
 
 def coherence(text: Column) -> Column:
     """Share of plausible word pairs after articles and prepositions; 1 for texts of under 6 words or without such pairs."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")
-    lit = lambda xs: F.array(*map(F.lit, xs))
-    pairs = F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b"))
-    article = lambda p: F.array_contains(lit(ARTICLES), p["a"])
-    judged = F.filter(pairs, lambda p: article(p) | F.array_contains(lit(PREPOSITIONS), p["a"]))
-    good = F.filter(judged, lambda p: F.when(article(p), ~F.array_contains(lit(ARTICLES + PREPOSITIONS + LINKING), p["b"])).otherwise(~F.array_contains(lit(PREPOSITIONS), p["b"])))
-    return F.when((F.size(words) < 6) | (F.size(judged) == 0), F.lit(1.0)).otherwise(F.size(good) / F.size(judged))
+    one = lambda xs: rf"(?:{'|'.join(xs)})"
+    start, then = r"(?<![^ ])", lambda xs: rf"(?= (?!{one(xs)}(?![^ ])))"
+    pairs = rf"{start}{one(ARTICLES + PREPOSITIONS)}(?= )"
+    plausible = rf"{start}(?:{one(ARTICLES)}{then(ARTICLES + PREPOSITIONS + LINKING)}|{one(PREPOSITIONS)}{then(PREPOSITIONS)})"
+    count = lambda x, p: F.size(F.regexp_extract_all(x, F.lit(p), 0))
+    share = lambda x: F.when(x.rlike(r"^(?:[^ ]* ){5}"), F.coalesce(F.try_divide(count(x, plausible), count(x, pairs)), F.lit(1.0))).otherwise(F.lit(1.0))
+    return F.transform(F.array(F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))), share)[0]  # as an array, so that the text is prepared once
 
 
 def coherence_boost(score: Column, text: Column, weight: float = 0.1) -> Column:
