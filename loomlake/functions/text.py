@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import spread
 from ..session import ship
 
 # Words left out of keywords, words left out of lexical search, suffixes cut from its words, fillers left
@@ -57,14 +58,27 @@ def keywords(text: Column, least: int = 3) -> Column:
     return F.array_except(found, _words_lit(KEYWORD_STOPS))
 
 
+def _runs(text: Column) -> Column:
+    """Runs of letters, numbers, marks and CJK characters, these not yet apart from the others: the quick class alone."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[a-z0-9\p{{L}}\p{{N}}\p{{M}}{CJK}]++"), 0)
+
+
+def _cjk(word: Column, where: str = "^") -> Column:
+    return (F.octet_length(word) > F.length(word)) & word.rlike(f"{where}[{CJK}]")
+
+
+def _terms_of_run(run: Column) -> Column:
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
+    parts = F.regexp_extract_all(run, F.lit(rf"[{CJK}]+|[^{CJK}]+"), 0)
+    return F.when(_cjk(run, ""), F.flatten(F.transform(parts, lambda w: F.when(_cjk(w), pairs(w)).otherwise(F.array(w))))).otherwise(F.array(run))
+
+
 def words(text: Column) -> Column:
     """Runs of letters, numbers and marks in lower case; a run of CJK characters gives its pairs, a single one itself.
 
     Texts are taken to be in NFC: the JVM's functions don't compose characters.
     """
-    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"([{CJK}]+|[\p{{L}}\p{{N}}\p{{M}}&&[^{CJK}]]+)"), 1)
-    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda w: F.when(w.rlike(f"^[{CJK}]"), pairs(w)).otherwise(F.array(w))))
+    return F.flatten(F.transform(_runs(text), _terms_of_run))
 
 
 def stem(word: Column) -> Column:
@@ -78,9 +92,16 @@ def stem(word: Column) -> Column:
 
 def search_terms(text: Column) -> Column:
     """Terms of lexical search: stop words left out, words stemmed, those of over two letters kept; CJK pairs stay."""
-    cjk = lambda w: w.rlike(f"^[{CJK}]")
     kept = F.filter(words(text), lambda w: ~F.array_contains(_words_lit(SEARCH_STOPS), w))
-    return F.filter(F.transform(kept, lambda w: F.when(cjk(w), w).otherwise(stem(w))), lambda w: cjk(w) | (F.length(w) > 2))
+    return F.filter(F.transform(kept, lambda w: F.when(_cjk(w), w).otherwise(stem(w))), lambda w: _cjk(w) | (F.length(w) > 2))
+
+
+def search_counts(rows: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, term, tf): how often each of the `search_terms` is in a text. Words come out as rows first, as Spark compiles no functions on arrays."""
+    w, term = F.col("w"), F.col("term")
+    found = rows.select(id, F.explode(_runs(F.col(text))).alias("w")).select(id, F.explode(_terms_of_run(w)).alias("w")).where(~w.isin(SEARCH_STOPS))
+    found = found.select(id, _cjk(w).alias("cjk"), F.when(_cjk(w), w).otherwise(stem(w)).alias("term")).where(F.col("cjk") | (F.length(term) > 2))
+    return spread.wide(found.select(id, "term"), id).groupBy(id, "term").agg(F.count("*").alias("tf"))
 
 
 def email(address: Column) -> Column:

@@ -46,7 +46,7 @@ def _stem_sql(w: str) -> str:
 
 @register("search_terms", f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')) AS w FROM documents), s AS (SELECT doc_id, {_stem_sql('w')} AS t FROM w WHERE w NOT IN ({_sql_list(text.SEARCH_STOPS)})) SELECT doc_id, t AS term, count(*) AS tf FROM s WHERE length(t) > 2 GROUP BY ALL")
 def search_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(text.search_terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return text.search_counts(table(spark, d, "documents"), "doc_id", "text")
 
 
 @register("keywords", f"WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(regexp_replace(lower(text), '[ß-ɏ]', '9', 'g'), '\\b([a-z]{{3,}})\\b', 1), lambda w: w NOT IN ({_sql_list(text.KEYWORD_STOPS)}))) AS w FROM conversations) SELECT conv_id, turn, list_sort(w) AS keywords FROM w")

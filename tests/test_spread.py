@@ -109,3 +109,35 @@ def test_a_chunks_pairs_come_without_a_join(spark):
     s = spark.createDataFrame([(c % 2, c, 1.0) for c in range(9)], "query_id long, id long, score double")
     out = relations.narrative(s, m.where("entity % 7 = 0"))
     assert {r.id: round(r.score, 2) for r in out.collect()} == {c: {0: 1.4, 1: 1.2, 2: 1.2, 3: 1.2}[min(c % 4, 1)] for c in range(9)} and plan(out).count("Join") == 2
+
+
+def test_search_counts_are_those_of_search_terms(spark):
+    from loomlake.functions import text
+
+    rows = [(1, "The RUNNING runs, ran 東京都庁 and 京 darkness nesses ab abc's"), (2, None), (3, ""), (4, "running " * 5 + "of"), (1, "Running 東京")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = df.select("id", F.explode(text.search_terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    out = text.search_counts(df, "id", "text")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and {(r.id, r.term) for r in out.collect()} >= {(1, "京都"), (1, "京"), (4, "runn")}
+    assert "Generate explode(flatten" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Generate") == 2
+
+
+def test_coherence_counts_pairs_by_patterns(spark):
+    import random
+
+    from loomlake.operators import scoring
+
+    dice = random.Random(2)
+    some = ["the", "a", "in", "of", "is", "not", "theory", "inn", "x", "The", "of,", "house"]
+    texts = [dice.choice(["", " "]) + dice.choice([" ", "  ", "\t", "\n "]).join(dice.choice(some) for _ in range(dice.randrange(12))) for _ in range(200)] + ["", " ", "the of the of the of", "a b c d e the"]
+
+    def want(t):
+        w = " ".join(t.lower().split()).split(" ")
+        art, prep = scoring.ARTICLES, scoring.PREPOSITIONS
+        judged = [(a, b) for a, b in zip(w, w[1:]) if a in art + prep]
+        good = [b for a, b in judged if b not in (art + prep + scoring.LINKING if a in art else prep)]
+        return len(good) / len(judged) if len(w) >= 6 and judged else 1.0
+
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scoring.coherence(F.col("t")).alias("c"))
+    assert all(abs(r.c - want(r.t)) < 1e-9 for r in out.collect())
+    assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
