@@ -141,3 +141,15 @@ def test_coherence_counts_pairs_by_patterns(spark):
     out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scoring.coherence(F.col("t")).alias("c"))
     assert all(abs(r.c - want(r.t)) < 1e-9 for r in out.collect())
     assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rings_and_small_groups_of_keywords_come_without_a_join(spark):
+    from loomlake.operators import relations
+
+    held = {"few": [5, 2, 9], "many": [7, 1, 4, 3, 8], "one": [6]}
+    k = spark.createDataFrame([(w, c, float(len(w))) for w, cs in held.items() for c in cs], "keyword string, chunk long, idf double")
+    ring = sorted(held["many"])
+    want = [(a, b, "few") for a in held["few"] for b in held["few"] if a != b] + [p for a, b in zip(ring, ring[1:] + ring[:1]) for p in ((a, b, "many"), (b, a, "many"))]
+    out = relations.co_keyword_edges(k, 3)
+    assert sorted(tuple(r)[:3] for r in out.collect()) == sorted(want) and {r.weight for r in out.collect()} == {3.0, 4.0}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
